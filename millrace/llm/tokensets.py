@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 
-_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -61,4 +60,4 @@ def parity_sketch(hashes: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
 
 
 def seeded(hashes: np.ndarray, seed: int) -> np.ndarray:
-    return mix(hashes + np.uint64(seed) * _GOLDEN)
+    return mix(hashes + np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64)))
