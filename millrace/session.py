@@ -67,12 +67,18 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     The files go when the driver process ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/millrace-{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    _remove_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the driver process ends."""
+    path = f"{shared_dir(spark)}/millrace-{name}-{uuid.uuid4().hex}"
+    _remove_at_exit(spark, path)
+    return path
+
+
 def _remove_at_exit(spark: SparkSession, path: str) -> None:
     import atexit
 
