@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import contributor_cap, formatting_duplicates, garbled, mixing, near_duplicates, reading_level, tokenizer, top_per_group
+from millrace.llm import contributor_cap, formatting_duplicates, garbled, history, mixing, near_duplicates, reading_level, tokenizer, top_per_group
 from millrace.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,6 +57,11 @@ def p3_restored(spark: SparkSession, d: str) -> DataFrame:
     return garbled.garbled_fields(table(spark, d, "articles"))
 
 
+@query("p4_found")
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return history.earlier_matches(table(spark, d, "posted_history"), table(spark, d, "incoming_articles"))
+
+
 @query(
     "p5_found",
     """

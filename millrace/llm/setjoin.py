@@ -134,7 +134,7 @@ def unpack(blobs: list[bytes]) -> dict[str, np.ndarray]:
     return {k: np.concatenate(v) for k, v in got.items()}
 
 
-def _near(c: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, t: Fraction) -> np.ndarray:
+def near(c: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, t: Fraction) -> np.ndarray:
     """Which of the index pairs (i, j) pass the bounds."""
     h = max_difference(c["size"][i].astype(np.int64) + c["size"][j], t)
     return (
@@ -161,11 +161,11 @@ def _tiles(a: dict[str, np.ndarray], b: dict[str, np.ndarray], same: bool, t: Fr
             if same and x == y:
                 upper = j - n > i
                 i, j = i[upper], j[upper]
-            ok = _near(both, i, j, t)
+            ok = near(both, i, j, t)
             yield both["uid"][i[ok]], both["uid"][j[ok]]
 
 
-def _ordered(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def ordered_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     lo, hi = np.minimum(a, b), np.maximum(a, b)
     order = np.lexsort((hi, lo))
     lo, hi = lo[order], hi[order]
@@ -174,7 +174,7 @@ def _ordered(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo[first], hi[first]
 
 
-def _pair_table(a: np.ndarray, b: np.ndarray, tiles: list[tuple[bytes, bytes]] = ()) -> pa.Table:
+def pair_table(a: np.ndarray, b: np.ndarray, tiles: list[tuple[bytes, bytes]] = ()) -> pa.Table:
     k = len(tiles)
     return pa.Table.from_arrays(
         [
@@ -194,7 +194,7 @@ def list_pairs(blobs: list[bytes], t: Fraction, hot: int = HOT_LIST) -> pa.Table
     c = {k: v[order] for k, v in c.items()}
     sig = c["sig"]
     if not len(sig):
-        return _pair_table(np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return pair_table(np.zeros(0, np.int64), np.zeros(0, np.int64))
     start = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
     length = np.diff(np.r_[start, len(sig)])
     found: list[tuple[np.ndarray, np.ndarray]] = []
@@ -213,13 +213,34 @@ def list_pairs(blobs: list[bytes], t: Fraction, hot: int = HOT_LIST) -> pa.Table
     while len(alive):
         for at in range(0, len(alive), 1 << 20):
             i = alive[at : at + (1 << 20)]
-            ok = _near(c, i, i + d, t)
+            ok = near(c, i, i + d, t)
             found.append((c["uid"][i[ok]], c["uid"][i[ok] + d]))
         d += 1
         alive = alive[left[alive] >= d]
     a = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)
     b = np.concatenate([y for _, y in found]) if found else np.zeros(0, np.int64)
-    return _pair_table(*_ordered(a, b), tiles)
+    return pair_table(*ordered_pairs(a, b), tiles)
+
+
+MET = "a long, b long, left binary, right binary"
+
+
+def spread(met: DataFrame, t: Fraction) -> DataFrame:
+    """(a, b), each once, from a table of pairs and chunk pairs; the latter are worked off all over the cluster."""
+
+    def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                ca, cb = unpack([x]), unpack([y])
+                got = list(_tiles(ca, cb, x == y, t))
+                a = np.concatenate([g[0] for g in got]) if got else np.zeros(0, np.int64)
+                o = np.concatenate([g[1] for g in got]) if got else np.zeros(0, np.int64)
+                lo, hi = ordered_pairs(a, o)
+                yield pa.RecordBatch.from_arrays([pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], names=["a", "b"])
+
+    met = cut(met, "lists")
+    hot = met.where("left is not null").select("left", "right").repartition(shuffle_width(met.sparkSession) * 4)
+    return met.where("left is null").select("a", "b").union(hot.mapInArrow(tiles, "a long, b long")).distinct()
 
 
 def candidates(norms: DataFrame, t: Fraction, n: int) -> DataFrame:
@@ -248,20 +269,8 @@ def candidates(norms: DataFrame, t: Fraction, n: int) -> DataFrame:
     def lists(table: pa.Table) -> pa.Table:
         return list_pairs(table.column("blob").to_pylist(), t)
 
-    def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ca, cb = unpack([x]), unpack([y])
-                got = list(_tiles(ca, cb, x == y, t))
-                a = np.concatenate([g[0] for g in got]) if got else np.zeros(0, np.int64)
-                o = np.concatenate([g[1] for g in got]) if got else np.zeros(0, np.int64)
-                lo, hi = _ordered(a, o)
-                yield pa.RecordBatch.from_arrays([pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], names=["a", "b"])
-
     indexed = norms.select("uid", "norm").mapInArrow(index, "cell int, blob binary")
-    met = cut(indexed.groupBy("cell").applyInArrow(lists, "a long, b long, left binary, right binary"), "lists")
-    hot = met.where("left is not null").select("left", "right").repartition(width * 4)
-    return met.where("left is null").select("a", "b").union(hot.mapInArrow(tiles, "a long, b long")).distinct()
+    return spread(indexed.groupBy("cell").applyInArrow(lists, MET), t)
 
 
 def _overlaps(keys: np.ndarray, codes: np.ndarray, offsets: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
