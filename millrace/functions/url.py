@@ -150,7 +150,7 @@ def trim_white(c: Column) -> Column:
 def canonical_url(url: Column) -> Column:
     """Canonical URL: lower-case scheme and host, no user, default port, fragment, tracking parameters or
     trailing slashes, parameters sorted by name (stable). Null stays null; what is no URL is only trimmed."""
-    s = F.translate(trim_white(url), "\t\n\r", "")
+    s = _bare(url)
     plain = s.rlike(_PLAIN) & ~s.contains("/.") & ~F.lower(s).contains("xn--")
     base = F.substring_index(s, "#", 1)
     main = F.substring_index(base, "?", 1)
@@ -180,13 +180,17 @@ def _without_default_port(scheme: Column, host: Column) -> Column:
     return F.when(http | https, F.substring_index(host, ":", 1)).otherwise(host)
 
 
+def _bare(url: Column) -> Column:
+    return F.translate(trim_white(url), "\t\n\r", "")
+
+
 def domain(url: Column) -> Column:
     """Host in lower case, empty where there is none."""
-    return F.coalesce(F.lower(F.try_parse_url(url, F.lit("HOST"))), F.lit(""))
+    return F.coalesce(F.lower(F.try_parse_url(_bare(url), F.lit("HOST"))), F.lit(""))
 
 
 def path_segments(url: Column) -> Column:
-    path = F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))
+    path = F.coalesce(F.try_parse_url(_bare(url), F.lit("PATH")), F.lit(""))
     return F.filter(F.split(F.lower(path), "/"), lambda x: x != "")
 
 
