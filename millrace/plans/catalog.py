@@ -14,6 +14,7 @@ from millrace.operators import dedup, filters, scoring, selection, state, statis
 from millrace.operators.timestamps import normalize_feed_times, normalize_posted_times
 from millrace.plans.view import NOW_MS, VIEW, article_view, now, sql_hits, sql_list, sql_norm, sql_trigrams
 from millrace.sources.tables import table
+from millrace.streaming import queries as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -569,3 +570,8 @@ def check_nation_orders(spark: SparkSession, d: str) -> DataFrame:
 def check_top_orders(spark: SparkSession, d: str) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey"))
     return table(spark, d, "orders").withColumn("rn", rank).where("rn <= 2").select("o_custkey", "o_orderkey")
+
+
+# -------------------------------------------------------------------------------------------------- streaming
+query("stream_first_seen", "SELECT DISTINCT user_id FROM events")(streams.stream_first_seen)
+query("stream_throttled", ORACLES["throttled_alerts"])(streams.stream_throttled)

@@ -1 +1 @@
-
+"""Stateful streaming counterparts of the batch operators."""
