@@ -36,8 +36,8 @@ _TAG = re.compile(r"<[^<>\n]{1,200}>")
 _LINK = re.compile(r"(?:https?://|www\.)\S+")
 _CODE_MARK = re.compile(r"[{}|\t\\=<>;]|\w\(|::|->|\w_\w|^(?:#|//|\$ |>>> |@|\* )")
 _LINE_END = re.compile(r"[.!?…][\"'”’»)\]]*$")
-_END = re.compile(r"([.!?]+)[\"'”’»)\]]*(?=\s|$)")
-_LAST_TOKEN = re.compile(r"(\S+)$")
+_END = re.compile(r"([.!?]+)[\"'”’»)\]]*$")
+_MARKS = frozenset("{}|\t\\=<>;(_#/$@*")
 _INITIALS = re.compile(r"(?:\w\.)+\w$")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _ABBREVIATIONS = frozenset("e.g i.e approx etc vs cf dr mr mrs ms no st fig vol inc ltd co corp dept est prof jr sr".split())
@@ -58,28 +58,22 @@ def prose(text: str) -> list[str]:
             bare = _TAG.sub(" ", bare).strip()
         if ":/" in bare or "www." in bare:
             bare = _LINK.sub(" ", bare).strip()
-        if _LINE_END.search(bare, max(0, len(bare) - 8)) and not (_CODE_MARK.search(bare) and not _reads_as_prose(bare)):
+        if _LINE_END.search(bare, max(0, len(bare) - 8)) and not (_has_mark(bare) and _CODE_MARK.search(bare) and not _reads_as_prose(bare)):
             kept.append(bare)
     return kept
 
 
+def _has_mark(line: str) -> bool:
+    """Whether a line has any character that code marks are made of; most lines of prose have none."""
+    return not _MARKS.isdisjoint(line) or "::" in line
+
+
 def _reads_as_prose(line: str) -> bool:
     """Whether a line with a character of code in it is a sentence all the same: mostly words, few such characters."""
     words = _WORD.findall(line)
     return len(words) >= 5 and sum(map(len, words)) >= 0.7 * len(line)
 
 
-def sentence_count(line: str) -> int:
-    n = 0
-    for m in _END.finditer(line):
-        if m[1] == "." and m.end() < len(line):
-            token = _LAST_TOKEN.search(line, max(0, m.start() - 20), m.start())
-            if token and (token[1].lower().lstrip("(\"“'") in _ABBREVIATIONS or _INITIALS.search(token[1])):
-                continue
-        n += 1
-    return max(n, 1)
-
-
 @lru_cache(maxsize=200_000)
 def syllables(word: str) -> int:
     """Vowel groups, less silent endings, more where two vowels are spoken apart."""
@@ -95,25 +89,33 @@ def syllables(word: str) -> int:
 
 
 @lru_cache(maxsize=200_000)
-def _word(word: str) -> tuple[int, int, int, int]:
-    n, letters = syllables(word), sum(map(str.isalpha, word))
-    return n, n >= 3, letters, letters > 6
+def _token(token: str) -> tuple[int, int, int, int, int, int]:
+    """What a token between blanks adds: (ends a sentence, words, syllables, long words, letters, words over 6 letters)."""
+    end = _END.search(token)
+    if end and end[1] == ".":
+        before = token[: end.start()]
+        if before.lower().lstrip("(\"“'") in _ABBREVIATIONS or ("." in before and _INITIALS.search(before)):
+            end = None
+    words = _WORD.findall(token)
+    counts, letters = [syllables(w) for w in words], [sum(map(str.isalpha, w)) for w in words]
+    return int(end is not None), len(words), sum(counts), sum(c >= 3 for c in counts), sum(letters), sum(n > 6 for n in letters)
 
 
 def statistics(text: str | None) -> list[float] | None:
     """[sentences, words, syllables, long words, letters, words over 6 letters] of the running prose, or None."""
     if text is None:
         return None
-    found, counted = 0, Counter()
+    counted: Counter[str] = Counter()
+    open_ends = 0
     for line in prose(text):
-        if words := _WORD.findall(line):
-            found += sentence_count(line)
-            counted.update(words)
-    if not found:
+        tokens = line.split()
+        counted.update(tokens)
+        open_ends += not _token(tokens[-1])[0]  # a line of prose ends a sentence
+    if not counted:
         return None
-    seen = list(counted.values())
-    columns = zip(*map(_word, counted))
-    return [float(found), float(sum(seen)), *(float(sum(map(mul, seen, c))) for c in columns)]
+    times = list(counted.values())
+    sentences, *rest = (sum(map(mul, times, column)) for column in zip(*map(_token, counted)))
+    return [float(sentences + open_ends), *map(float, rest)] if rest[0] else None
 
 
 def grades(st: list[float]) -> list[float]:
