@@ -31,7 +31,7 @@ def word_scores(title: Column, snippet: Column) -> dict[str, Column]:
 def recency(published: Column, now: Column, points: int = lexicon.RECENCY_POINTS, hours: int = lexicon.RECENCY_HOURS) -> Column:
     """Points that fall linearly from now to *hours* ago; milliseconds count, halves are rounded up; null has none."""
     age = F.greatest(F.unix_millis(now.cast("timestamp")) - F.unix_millis(published.cast("timestamp")), F.lit(0)) / 3_600_000.0
-    return F.coalesce(F.when(age >= hours, 0).otherwise(F.floor(points * (1 - age / hours) + 0.5).cast("int")), F.lit(0))
+    return F.coalesce(F.when(published.isNull() | (age >= hours), 0).otherwise(F.floor(points * (1 - age / hours) + 0.5).cast("int")), F.lit(0))
 
 
 def suffix_match(host: Column, table: list[tuple[str, int]]) -> Column:

@@ -3,14 +3,20 @@ sinks. State lives in the state store; every query takes a checkpoint location,
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+# The worker that sets a stateful processor up has only the JVM's path, so processors travel by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -18,6 +24,18 @@ def use_rocksdb(spark) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
 
 
+@contextmanager
+def no_idle_batches(spark):
+    """For finite runs of queries whose state expires by the clock: these have a batch due at any time and would not end."""
+    name = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def first_seen(stream: DataFrame, key: str, at: str, ttl: str = "30 days") -> DataFrame:
     """Rows whose key wasn't seen within *ttl* of event time."""
     return stream.withWatermark(at, ttl).dropDuplicatesWithinWatermark([key])

@@ -53,6 +53,16 @@ def test_slot_queue(spark, tmp_path):
     state.use_rocksdb(spark)
     data = [("s1", 1, "put", "p1"), ("s1", 2, "put", "p2"), ("s1", 3, "peek", None), ("s1", 4, "take", None), ("s1", 5, "take", None), ("s2", 6, "peek", None)]
     s = stream_of(spark, tmp_path, data, "slot string, seq long, op string, payload string")
-    q = state.slot_queue(s).writeStream.format("memory").queryName("slots").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert rows(spark.table("slots"), "seq", "payload") == [(3, "p2"), (4, "p2"), (5, None), (6, None)]
+    with state.no_idle_batches(spark):
+        got = state.run_to_table(state.slot_queue(s), str(tmp_path / "o"), str(tmp_path / "c"))
+    assert rows(got, "seq", "payload") == [(3, "p2"), (4, "p2"), (5, None), (6, None)]
+
+
+def test_failure_counts(spark, tmp_path):
+    state.use_rocksdb(spark)
+    s = stream_of(spark, tmp_path, [("a",), ("a",), ("b",)], "k string")
+    got = []
+    with state.no_idle_batches(spark):
+        q = state.failure_counts(s, "k").writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True)
+        q.foreachBatch(lambda df, i: got.extend(map(tuple, df.collect()))).start().awaitTermination()
+    assert sorted(got) == [("a", 2), ("b", 1)]
