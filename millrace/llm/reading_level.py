@@ -74,18 +74,19 @@ def _reads_as_prose(line: str) -> bool:
     return len(words) >= 5 and sum(map(len, words)) >= 0.7 * len(line)
 
 
+_SILENT = re.compile(r"(?<![aeiouy])(?<!l)e$|(?<=[aeiouy]l)e$|(?<=[^aeiouydt])ed$|(?<=[^aeiouycgsxz])(?<!ch)(?<!sh)(?<![^aeiouy]l)es$")
+_INNER_SILENT = re.compile(r"[^aeiouy]e(?=(?:ly|ments?|ful|less|ness)$)")
+_SPLIT = re.compile(r"(?<![tscgx])i[ao]|iu|(?<![qg])ua|uou|eo|^crea|[aeiouy]ing(?=$|s$)|(?<=[^aeiouy])ism(?=$|s$)")
+
+
 @lru_cache(maxsize=200_000)
 def syllables(word: str) -> int:
     """Vowel groups, less silent endings, more where two vowels are spoken apart."""
     w = re.sub(r"[^a-z]", "", word.lower())
     if len(w) <= 3:
         return 1
-    n = len(re.findall(r"[aeiouy]+", w))
-    n += len(re.findall(r"i(?:a(?!l$|n$|ge)|o(?!us|n)|um|us$|er$|est$)|[aeiou]ing$|eous$|uou|(?<=[^q])ua|eo|ia[nl]$|[^aeiouy]ism$|(?<=[^aeiouy])le[sd]?$", w)) if n else 0
-    n -= bool(re.search(r"(?<![aeiouyl])e$|(?<=[aeiouy])le$|(?<=[^dt])ed$|(?<![cgsxz])(?<!ch)(?<!sh)es$", w))
-    n -= len(re.findall(r"(?<=[^aeiouy])le[sd]$", w))
-    n -= len(re.findall(r"[^aeiouy]e(?=(?:ly|ment|ful|less|ness)$)", w))
-    return max(1, n)
+    n = len(re.findall(r"[aeiouy]+", w)) + len(_SPLIT.findall(w))
+    return max(1, n - bool(_SILENT.search(w)) - len(_INNER_SILENT.findall(w)))
 
 
 @lru_cache(maxsize=200_000)
