@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millrace.operators.ranges import running_total
+
 
 def best_in_open_bucket(rows: DataFrame, remaining: DataFrame, category: str, order: list[Column], take: int = 1) -> DataFrame:
     """The first *take* rows in order, those of a category with quota left before all others; ``fallback`` tells whether
@@ -16,20 +18,24 @@ def best_in_open_bucket(rows: DataFrame, remaining: DataFrame, category: str, or
 
 
 def round_robin(rows: DataFrame, category: str, order: list[Column], categories: list[str]) -> DataFrame:
-    """*rows* with ``turn`` (rank within the category) and ``pos`` of the interleaving (turn, then category order).
+    """*rows* with ``turn`` (rank within the category) and ``pos`` of the interleaving (turn, then category order, then
+    name). rows must have no columns of these names.
 
-    The position is found by counting: rows of earlier turns and of earlier categories in the same turn, from one small
-    table of category sizes, so no global sort runs in one task."""
-    sizes = rows.groupBy(category).agg(F.count("*").alias("_n"))
+    Ranks come from a range sort with prefix sums, so a category with a third of all rows spreads over many tasks; the
+    position is then counted from one small table of category sizes."""
     place = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, categories)), F.col(category)), F.lit(0)), F.lit(len(categories) + 1)).cast("int")
-    table = sizes.select(F.struct(place.alias("o"), F.col(category).alias("c"), F.col("_n").alias("n")).alias("s")).agg(F.collect_list("s").alias("_all"))
-    ranked = rows.withColumn("turn", F.row_number().over(W.partitionBy(category).orderBy(*order))).withColumn("_o", place)
-    before = F.aggregate(
-        F.col("_all"),
-        F.lit(0).cast("long"),
-        lambda acc, s: acc + F.least(s["n"], F.when((s["o"] < F.col("_o")) | ((s["o"] == F.col("_o")) & (F.coalesce(s["c"], F.lit("")) < F.coalesce(F.col(category), F.lit("")))), F.col("turn")).otherwise(F.col("turn") - 1).cast("long")),
-    )
-    return ranked.join(F.broadcast(table)).withColumn("pos", before + 1).drop("_all", "_o")  # one row, a struct a category
+    one = rows.withColumn("_one", F.lit(1).cast("long")).withColumn("_o", place)
+    placed = running_total(one, [F.col("_o"), F.col(category), *order], "_one", "_at").drop("_one")
+    sizes = placed.groupBy("_o", category).agg(F.min("_at").alias("_start"), F.count("*").alias("_n"))
+    sizes = sizes.select(F.col("_o").alias("o"), F.coalesce(category, F.lit("")).alias("c"), F.col("_start").alias("s"), F.col("_n").alias("n"))
+    table = sizes.agg(F.collect_list(F.struct("o", "c", "s", "n")).alias("_all"))  # a struct a category
+    me = F.coalesce(category, F.lit(""))
+    both = placed.join(F.broadcast(table))
+    own = F.filter("_all", lambda x: (x["o"] == F.col("_o")) & (x["c"] == me))[0]
+    ranked = both.withColumn("turn", F.col("_at") - own["s"] + 1)
+    earlier = lambda x: (x["o"] < F.col("_o")) | ((x["o"] == F.col("_o")) & (x["c"] < me))
+    before = F.aggregate("_all", F.lit(0).cast("long"), lambda acc, x: acc + F.least(x["n"], F.when(earlier(x), F.col("turn")).otherwise(F.col("turn") - 1)))
+    return ranked.withColumn("pos", before + 1).drop("_all", "_o", "_at")
 
 
 def running_cap(rows: DataFrame, key: str, order: list[Column], cap: int, already: DataFrame | None = None) -> DataFrame:
@@ -70,7 +76,8 @@ def refill_failed(assigned: DataFrame, spare: DataFrame, ok: Column, order: list
 
 def retry_order(rows: DataFrame, eligible: Column, order: list[Column]) -> DataFrame:
     """Ranking in which the best remaining row is tried next, eligible ones before all others."""
-    return rows.withColumn("attempt", F.row_number().over(W.orderBy(eligible.desc(), *order)))
+    one = rows.withColumn("_one", F.lit(1).cast("long")).withColumn("_e", F.coalesce(eligible, F.lit(False)))
+    return running_total(one, [F.col("_e").desc(), *order], "_one", "_at").withColumn("attempt", F.col("_at") + 1).drop("_one", "_e", "_at")
 
 
 def capped_per_source(rows: DataFrame, source: str, order: list[Column], cap: int = 25) -> DataFrame:

@@ -376,12 +376,12 @@ def quota_remaining(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "bucket_pick",
-    """WITH u AS (SELECT category, count(*) AS n FROM articles WHERE batch_id = 1 GROUP BY 1), o AS (SELECT category, n % 3 AS r FROM u)
+    """WITH u AS (SELECT category, count(*) AS n FROM articles GROUP BY 1), o AS (SELECT category, n % 3 AS r FROM u)
     SELECT article_id, COALESCE(r, 0) <= 0 AS fallback FROM articles LEFT JOIN o USING (category) ORDER BY 2, score DESC NULLS LAST, article_id LIMIT 5""",
 )
 def bucket_pick(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "articles")
-    room = rows.where("batch_id = 1").groupBy("category").agg((F.count("*") % 3).alias("remaining"))
+    room = rows.groupBy("category").agg((F.count("*") % 3).alias("remaining"))
     order = [F.col("score").desc_nulls_last(), F.col("article_id")]
     return selection.best_in_open_bucket(rows, room, "category", order, 5).select("article_id", "fallback")
 
@@ -409,29 +409,26 @@ def source_cap_25(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------------------------------- windows and slots
-_BATCH1 = "SELECT * FROM articles WHERE batch_id = 1 AND category IS NOT NULL"
-
-
 @query(
     "round_robin",
-    f"""WITH b AS ({_BATCH1}), r AS (SELECT article_id, category, row_number() OVER (PARTITION BY category ORDER BY score DESC NULLS LAST, article_id) AS turn,
-      COALESCE(list_position({sql_list(lexicon.CATEGORIES)}, category), 6) AS o FROM b)
-    SELECT article_id, CAST(turn AS INTEGER) AS turn, CAST(row_number() OVER (ORDER BY turn, o, category) AS BIGINT) AS pos FROM r""",
+    f"""WITH r AS (SELECT article_id, category, row_number() OVER (PARTITION BY category ORDER BY score DESC NULLS LAST, article_id) AS turn,
+      COALESCE(list_position({sql_list(lexicon.CATEGORIES)}, category), 6) AS o FROM articles)
+    SELECT article_id, CAST(turn AS BIGINT) AS turn, CAST(row_number() OVER (ORDER BY turn, o, COALESCE(category, '')) AS BIGINT) AS pos FROM r""",
 )
 def round_robin(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "articles").where("batch_id = 1 and category is not null").select("article_id", "category", "score")
+    rows = table(spark, d, "articles").select("article_id", "category", "score")
     return selection.round_robin(rows, "category", [F.col("score").desc_nulls_last(), F.col("article_id")], lexicon.CATEGORIES).select("article_id", "turn", "pos")
 
 
 @query(
     "running_cap_2",
-    """WITH a AS (SELECT source, count(*) AS n FROM posted_history p JOIN articles USING (canonical_url) WHERE batch_id = 2 GROUP BY 1),
+    """WITH a AS (SELECT source, count(*) % 2 AS n FROM posted_history p JOIN articles USING (canonical_url) GROUP BY 1),
     r AS (SELECT article_id, source, row_number() OVER (PARTITION BY source ORDER BY score DESC NULLS LAST, article_id) AS rn FROM articles WHERE source IS NOT NULL)
     SELECT article_id FROM r LEFT JOIN a USING (source) WHERE rn + COALESCE(n, 0) <= 2""",
 )
 def running_cap_2(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "articles").where("source is not null").select("article_id", "source", "score", "canonical_url", "batch_id")
-    queued = table(spark, d, "posted_history").select("canonical_url").join(rows.where("batch_id = 2"), "canonical_url").groupBy("source").agg(F.count("*").alias("n"))
+    rows = table(spark, d, "articles").where("source is not null").select("article_id", "source", "score", "canonical_url")
+    queued = table(spark, d, "posted_history").select("canonical_url").join(rows, "canonical_url").groupBy("source").agg((F.count("*") % 2).alias("n"))
     return selection.running_cap(rows, "source", [F.col("score").desc_nulls_last(), F.col("article_id")], 2, queued).select("article_id")
 
 
@@ -481,10 +478,10 @@ def newest_200(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "retry_order",
-    "SELECT article_id, CAST(row_number() OVER (ORDER BY (priority <= 2) DESC NULLS LAST, score DESC NULLS LAST, article_id) AS INTEGER) AS attempt FROM articles WHERE batch_id = 1",
+    "SELECT article_id, CAST(row_number() OVER (ORDER BY COALESCE(priority <= 2, FALSE) DESC, score DESC NULLS LAST, article_id) AS BIGINT) AS attempt FROM articles",
 )
 def retry_order(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "articles").where("batch_id = 1").select("article_id", "priority", "score")
+    rows = table(spark, d, "articles").select("article_id", "priority", "score")
     return selection.retry_order(rows, F.col("priority") <= 2, [F.col("score").desc_nulls_last(), F.col("article_id")]).select("article_id", "attempt")
 
 
@@ -572,6 +569,36 @@ def check_top_orders(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").withColumn("rn", rank).where("rn <= 2").select("o_custkey", "o_orderkey")
 
 
+@query(
+    "last_posted",
+    "SELECT tz, arg_max(entry_id, (length(posted_at), posted_at, entry_id)) AS entry_id FROM posted_history WHERE posted_at IS NOT NULL GROUP BY 1",
+)
+def last_posted(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "posted_history").where("posted_at is not null").withColumn("n", F.length("posted_at"))
+    return state.latest(rows.select("tz", "entry_id", "posted_at", "n"), ["tz"], ["n", "posted_at", "entry_id"]).select("tz", "entry_id")
+
+
+@query(
+    "queue_listing",
+    f"""WITH q AS (SELECT strftime(fetched_at AT TIME ZONE 'UTC', 'queue:%Y-%m-%dT%H') AS slot, arg_max(article_id, (fetched_at, article_id)) AS article_id, max(epoch_us(fetched_at)) // 1000 AS ms
+    FROM articles GROUP BY 1) SELECT slot, article_id, CAST(floor(({NOW_MS} - ms) / 60000.0::DOUBLE + 0.5) AS BIGINT) AS age_min FROM q""",
+)
+def queue_listing(spark: SparkSession, d: str) -> DataFrame:
+    """The last payload of every slot with its age in minutes."""
+    log = table(spark, d, "articles").select(times.slot_key(F.col("fetched_at")).alias("slot"), "article_id", "fetched_at")
+    rows = state.latest(log, ["slot"], ["fetched_at", "article_id"])
+    return rows.select("slot", "article_id", state.age_minutes(F.col("fetched_at"), now()).cast("long").alias("age_min"))
+
+
+@query(
+    "source_status",
+    "SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (WHERE n > 0) AS BIGINT) AS ok_n, CAST(count(*) FILTER (WHERE n = 0) AS BIGINT) AS failed_n, COALESCE(string_agg(name, ', ' ORDER BY name) FILTER (WHERE n = 0), '') AS status FROM (SELECT name, count(a.article_id) AS n FROM rss_sources s LEFT JOIN articles a ON a.source = s.name AND a.score > 320 GROUP BY 1)",
+)
+def source_status(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "articles").where("score > 320").select("source")
+    return statistics.outcome_summary(statistics.source_health(table(spark, d, "rss_sources"), rows))
+
+
 # -------------------------------------------------------------------------------------------------- streaming
 query("stream_first_seen", "SELECT DISTINCT user_id FROM events")(streams.stream_first_seen)
 query("stream_throttled", ORACLES["throttled_alerts"])(streams.stream_throttled)
