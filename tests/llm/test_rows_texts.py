@@ -9,7 +9,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import contributor_cap, garbled, mixing, ranges, reading_level, tokenizer, top_per_group
+from millrace.llm import contributor_cap, garbled, mixing, reading_level, tokenizer, top_per_group
+
+from millrace.operators import ranges
 
 RANKS = Path(tokenizer.RANKS)
 needs_ranks = pytest.mark.skipif(not RANKS.exists(), reason="no rank file")
