@@ -15,6 +15,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from millrace.functions.bind import let
+
 # --- fixed values: query parameters that only track -------------------------------------------------
 TRACKING_PREFIX = "utm_"
 TRACKING_PARAMS = [
@@ -150,28 +152,39 @@ def trim_white(c: Column) -> Column:
 def canonical_url(url: Column) -> Column:
     """Canonical URL: lower-case scheme and host, no user, default port, fragment, tracking parameters or
     trailing slashes, parameters sorted by name (stable). Null stays null; what is no URL is only trimmed."""
+
+    def kept_form(s: Column) -> Column:
+        base = F.substring_index(s, "#", 1)
+        return let(F.substring_index(base, "?", 1), lambda main: assembled(main, F.substr(base, F.length(main) + 2)))
+
+    def assembled(main: Column, query: Column) -> Column:
+        first, raw_host = F.split_part(main, F.lit("/"), F.lit(1)), F.split_part(main, F.lit("/"), F.lit(3))
+        scheme, host = F.lower(first), F.lower(raw_host)
+        path = F.rtrim(F.substr(main, F.length(first) + F.length(raw_host) + 3), F.lit("/"))
+        tail = F.when(query == "", F.lit("")).otherwise(let(wanted_pairs(query), joined))
+        return F.concat(scheme, F.lit("//"), _without_default_port(scheme, host), F.when(path == "", F.lit("/")).otherwise(path), tail)
+
     s = _bare(url)
     plain = s.rlike(_PLAIN) & ~s.contains("/.") & ~F.lower(s).contains("xn--")
-    base = F.substring_index(s, "#", 1)
-    main = F.substring_index(base, "?", 1)
-    query = F.substr(base, F.length(main) + 2)
-    first, raw_host = F.split_part(main, F.lit("/"), F.lit(1)), F.split_part(main, F.lit("/"), F.lit(3))
-    scheme, host = F.lower(first), F.lower(raw_host)
-    host = _without_default_port(scheme, host)
-    path = F.rtrim(F.substr(main, F.length(first) + F.length(raw_host) + 3), F.lit("/"))
-    path = F.when(path == "", F.lit("/")).otherwise(path)
+    easy = F.when(plain, s)
+    return F.coalesce(let(easy, lambda x: F.when(x.isNotNull(), kept_form(x))), _canonical_rest(F.when(~plain, s)))
+
+
+def wanted_pairs(query: Column) -> Column:
+    """The name=value pairs of a query that don't track, by name and then as they come."""
 
     def named(p: Column, i: Column) -> Column:
         return F.struct(F.substring_index(p, "=", 1).alias("k"), i.alias("i"), p.alias("p"))
 
     def wanted(x: Column) -> Column:
-        low = F.lower(x["k"])
-        return (x["p"] != "") & ~low.startswith(TRACKING_PREFIX) & ~low.isin(TRACKING_PARAMS)
+        return let(F.lower(x["k"]), lambda low: (x["p"] != "") & ~low.startswith(TRACKING_PREFIX) & ~low.isin(TRACKING_PARAMS))
+
+    return F.array_sort(F.filter(F.transform(F.split(query, "&"), named), wanted))
+
 
-    kept = F.array_sort(F.filter(F.transform(F.split(query, "&"), named), wanted))
-    pairs = F.transform(kept, lambda x: F.when(x["p"].contains("="), x["p"]).otherwise(F.concat(x["p"], F.lit("="))))
-    tail = F.when(query == "", F.lit("")).otherwise(F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(pairs, "&"))).otherwise(F.lit("")))
-    return F.when(plain, F.concat(scheme, F.lit("//"), host, path, tail)).otherwise(_canonical_rest(F.when(~plain, s)))
+def joined(pairs: Column) -> Column:
+    whole = F.transform(pairs, lambda x: F.when(x["p"].contains("="), x["p"]).otherwise(F.concat(x["p"], F.lit("="))))
+    return F.when(F.size(pairs) > 0, F.concat(F.lit("?"), F.array_join(whole, "&"))).otherwise(F.lit(""))
 
 
 def _without_default_port(scheme: Column, host: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace import lexicon
+from millrace.functions.bind import let
 
 
 def texts(words: list[str]) -> Column:
@@ -19,25 +20,22 @@ def is_fresh(published: Column, now: Column, hours: int = lexicon.FRESH_HOURS) -
 
 def contains_any(text: Column, words: list[str]) -> Column:
     """Whether the text, in lower case, has one of the words anywhere; a null text has none."""
-    low = F.lower(text)
-    return F.coalesce(F.exists(texts(words), lambda w: F.contains(low, w)), F.lit(False))
+    return F.coalesce(let(F.lower(text), lambda low: F.exists(texts(words), lambda w: F.contains(low, w))), F.lit(False))
 
 
 def hits(text: Column, words: list[str]) -> Column:
     """How many of the words occur anywhere in the text in lower case."""
-    low = F.lower(text)
-    return F.size(F.filter(texts(words), lambda w: F.contains(low, w)))
+    return let(F.lower(text), lambda low: F.size(F.filter(texts(words), lambda w: F.contains(low, w))))
 
 
 def separate_hits(text: Column, words: list[str]) -> Column:
     """Words, in list order, whose first occurrence doesn't overlap that of a word counted before."""
-    low = F.lower(text)
-    found = F.filter(
-        F.transform(texts(words), lambda w: F.struct(F.instr(low, w).alias("s"), F.length(w).alias("n"))),
-        lambda r: r["s"] > 0,
-    )
+    def places(low: Column) -> Column:
+        at = F.transform(texts(words), lambda w: F.struct(F.instr(low, w).alias("s"), F.length(w).alias("n")))
+        return F.filter(at, lambda r: r["s"] > 0)
+
     kept = F.aggregate(
-        found,
+        let(F.lower(text), places),
         F.array().cast("array<struct<s:int,n:int>>"),
         lambda acc, r: F.when(F.exists(acc, lambda k: (r["s"] < k["s"] + k["n"]) & (k["s"] < r["s"] + r["n"])), acc).otherwise(F.array_append(acc, r)),
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace import lexicon
+from millrace.functions.bind import let
 from millrace.functions.url import domain, path_segments
 from millrace.operators.filters import hits
 
@@ -37,8 +38,8 @@ def recency(published: Column, now: Column, points: int = lexicon.RECENCY_POINTS
 def suffix_match(host: Column, table: list[tuple[str, int]]) -> Column:
     """Points of the first row of the table whose domain is the host or a suffix of it at a dot; 0 without one."""
     rows = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(p).alias("p")) for d, p in table])
-    found = F.filter(rows, lambda r: (host == r["d"]) | host.endswith(F.concat(F.lit("."), r["d"])))
-    return F.when(F.size(found) > 0, found[0]["p"]).otherwise(0)
+    first = lambda h: F.get(F.filter(rows, lambda r: (h == r["d"]) | h.endswith(F.concat(F.lit("."), r["d"]))), F.lit(0))["p"]
+    return F.coalesce(let(host, first), F.lit(0))
 
 
 def is_blocked(host: Column, blocked: list[str] = lexicon.BLOCKED_DOMAINS) -> Column:
@@ -47,9 +48,11 @@ def is_blocked(host: Column, blocked: list[str] = lexicon.BLOCKED_DOMAINS) -> Co
 
 def path_points(url: Column, points: int = lexicon.PATH_POINTS) -> Column:
     """Points against pages of a changelog or of release notes, by whole path segments."""
-    host, segments = domain(url), path_segments(url)
-    changelog = ((host == "vercel.com") | host.endswith(".vercel.com")) & (F.coalesce(F.get(segments, F.lit(0)), F.lit("")) == "changelog")
-    return F.when(changelog | F.array_contains(segments, "release-notes"), points).otherwise(0)
+    def points_of(host: Column, segments: Column) -> Column:
+        changelog = ((host == "vercel.com") | host.endswith(".vercel.com")) & (F.coalesce(F.get(segments, F.lit(0)), F.lit("")) == "changelog")
+        return F.when(changelog | F.array_contains(segments, "release-notes"), points).otherwise(0)
+
+    return let(domain(url), lambda host: let(path_segments(url), lambda segments: points_of(host, segments)))
 
 
 def score_parts(now: Column, trust: list[tuple[str, int]] = lexicon.DOMAIN_TRUST) -> dict[str, Column]:
