@@ -9,14 +9,12 @@ from millrace.session import scratch_path
 from millrace.sources.tables import table
 from millrace.streaming import state
 
-#: A row far behind all others that closes the last window.
-LATE = "30 hours"
 
 
 def event_stream(spark: SparkSession, d: str) -> DataFrame:
     """The events as a stream, in the order of the files."""
     schema = table(spark, d, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(d)
+    stream = spark.readStream.schema(schema).parquet(f"{d}/events*.parquet")  # one file or a folder of files
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
