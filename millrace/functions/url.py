@@ -35,8 +35,8 @@ _DEFAULT_PORT = {"http": 80, "https": 443, "ws": 80, "wss": 443, "ftp": 21, "fil
 _PATH_SAFE = "!$&'()*+,-./:;=@_~%|[]\\^"
 _HOST_BAD = re.compile(r"[\x00-\x20\"#%/:<>?@\[\\\]^`{|}\x7f]")
 _PLAIN = (
-    r"^[hH][tT][tT][pP][sS]?://(?:[A-Za-z0-9-]+\.)*[A-Za-z][A-Za-z0-9-]*(?::[1-9][0-9]{0,3})?"
-    r"(?:/[A-Za-z0-9/._~!$&'()*+,;=:@-]*)?(?:\?(?:&|[A-Za-z0-9*._-]+(?:=[A-Za-z0-9*._-]*)?(?=&|#|$))*)?(?:#.*)?$"
+    r"^(?![^?#]*/\.)(?![^?#]*[xX][nN]--)[hH][tT][tT][pP][sS]?://(?:[A-Za-z0-9-]+\.)*[A-Za-z][A-Za-z0-9-]*(?::[1-9][0-9]{0,3})?"
+    r"(?:/[A-Za-z0-9/._~!$&'()*+,;=:@-]*)?(?:\?(?:&|[A-Za-z0-9*._-]+(?:=[A-Za-z0-9*._-]*)?(?=&|#|\z))*)?(?:#.*)?\z"
 )
 
 
@@ -164,10 +164,8 @@ def canonical_url(url: Column) -> Column:
         tail = F.when(query == "", F.lit("")).otherwise(let(wanted_pairs(query), joined))
         return F.concat(scheme, F.lit("//"), _without_default_port(scheme, host), F.when(path == "", F.lit("/")).otherwise(path), tail)
 
-    s = _bare(url)
-    plain = s.rlike(_PLAIN) & ~s.contains("/.") & ~F.lower(s).contains("xn--")
-    easy = F.when(plain, s)
-    return F.coalesce(let(easy, lambda x: F.when(x.isNotNull(), kept_form(x))), _canonical_rest(F.when(~plain, s)))
+    plain = url.rlike(_PLAIN)
+    return F.coalesce(F.when(plain, kept_form(url)), _canonical_rest(F.when(~plain, _bare(url))))
 
 
 def wanted_pairs(query: Column) -> Column:

@@ -18,6 +18,8 @@ CASES = {
     "https://a.exa\tmple/new\ns/1": "https://a.example/news/1",
     "https://user:pw@a.example/%7Ex/../y?q=a b": "https://a.example/y?q=a+b",
     "https://a.example/?hsCtaTracking=1": "https://a.example/?hsCtaTracking=1",
+    "https://a.example/end\n": "https://a.example/end",
+    "https://a.example/a/./b/%41": "https://a.example/a/b/%41",
     "/relative/path?x=1": "/relative/path?x=1",
     "https://münchen.example/ä?ö=ü": "https://xn--mnchen-3ya.example/%C3%A4?%C3%B6=%C3%BC",
     "mailto:a@b.example": "mailto:a@b.example",
