@@ -92,7 +92,7 @@ def _elements(texts: list[str], uids: np.ndarray, weight: np.ndarray, rank: np.n
     out: list[dict[str, np.ndarray]] = []
     for band in np.unique(np.r_[own, own + 1]):
         last, m = int(_band_end(band)) - 1, _segments_in(int(band), t)
-        take = (sizes > 0) & ((own == band) | ((own + 1 == band) & (largest > int(_band_end(band - 1)) - 1)))
+        take = (sizes > 0) & ((own == band) | ((own + 1 == band) & (largest > int(_band_end(max(int(band) - 1, 0))) - 1)))
         if not take.any():
             continue
         differ = max_difference(sizes + np.minimum(largest, last), t)
