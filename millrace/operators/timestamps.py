@@ -170,11 +170,16 @@ def is_canonical(text: Column) -> Column:
     return text.rlike(CANONICAL)
 
 
+def with_registry(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """*rows* with ``_s``, the zone and the day/month order (feed_tz, date_order) of their source, names compared by key."""
+    registry = sources.groupBy(source_key(F.col("name")).alias("_key")).agg(F.min(F.struct("feed_tz", "date_order")).alias("_s"))
+    return rows.withColumn("_key", source_key(F.col("source"))).join(registry.where("_key is not null"), "_key", "left").drop("_key")
+
+
 def normalize_feed_times(articles: DataFrame, sources: DataFrame) -> DataFrame:
     """(record_id, utc_ms) of each article whose ``pub_date`` isn't canonical and stands for an instant."""
-    registry = sources.groupBy(source_key(F.col("name")).alias("_key")).agg(F.min(F.struct("feed_tz", "date_order")).alias("_s"))
-    rows = articles.where(~is_canonical(F.col("pub_date"))).select(F.col("article_id").alias("record_id"), "pub_date", source_key(F.col("source")).alias("_key"))
-    joined = rows.join(registry.where("_key is not null"), "_key", "left")
+    rows = articles.where(~is_canonical(F.col("pub_date"))).select(F.col("article_id").alias("record_id"), "pub_date", "source")
+    joined = with_registry(rows, sources)
     return joined.select("record_id", instant_ms(F.col("pub_date"), F.col("_s.feed_tz"), F.col("_s.date_order")).alias("utc_ms")).where("utc_ms is not null")
 
 
