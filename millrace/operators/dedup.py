@@ -64,14 +64,16 @@ def _gram_set(norm: str) -> set[str]:
     return {padded[i : i + 3] for i in range(len(norm))}
 
 
-def fuzzy_known(rows: DataFrame, norm: str, known: DataFrame, threshold: float = FUZZY, cap: int = RECENT_CAP) -> DataFrame:
+def fuzzy_known(rows: DataFrame, norm: str, known: DataFrame, threshold: float = FUZZY, cap: int | None = RECENT_CAP) -> DataFrame:
     """*rows* with ``similar_to``: the ``raw`` of the first known headline of similarity >= threshold, else null.
 
-    known: (norm, raw, pos), in order of pos; only its first *cap* rows count, so the list has a fixed bound. Similarity
+    known: (norm, raw, pos), in order of pos; only its first *cap* rows count, so the list has a fixed bound; without a
+    cap all of it counts, for lists that are short by themselves, as a queue with one row a slot is. Similarity
     with the whole list is one sum over posting rows, in Arrow batches; the alternative in built-in set functions takes an
     array intersection for every pair and was some forty times slower.
     """
-    few = KnownHeadlines([(r.norm or "", r.raw) for r in known.orderBy("pos").limit(cap).select("norm", "raw").collect()], threshold)
+    known = known.orderBy("pos") if cap is None else known.orderBy("pos").limit(cap)
+    few = KnownHeadlines([(r.norm or "", r.raw) for r in known.select("norm", "raw").collect()], threshold)
 
     @F.arrow_udf(StringType())
     def first_like(norms: pa.Array) -> pa.Array:
@@ -96,6 +98,8 @@ def greedy_clusters(rows: pd.DataFrame, threshold: float) -> list[int]:
         padded = f" {norm} "
         me = {"priority": r["priority"], "score": r["score"], "length": r["length"], "at": r["at"], "pos": pos, "set": {padded[i : i + 3] for i in range(len(norm))}}
         for i, w in enumerate(winners):
+            if min(len(me["set"]), len(w["set"])) < threshold * max(len(me["set"]), len(w["set"])):
+                continue  # the sizes alone exclude it
             common = len(me["set"] & w["set"])
             if common >= threshold * (len(me["set"]) + len(w["set"]) - common):
                 if _better(w, me):
@@ -106,14 +110,14 @@ def greedy_clusters(rows: pd.DataFrame, threshold: float) -> list[int]:
     return [w["pos"] for w in winners]
 
 
-def cluster_batch(rows: DataFrame, id_col: str, order: list[Column], threshold: float = EVENT, cap: int = BATCH_CAP) -> DataFrame:
-    """Ids of the winners among the first *cap* rows in order. The greedy pass depends on the order of rows, so the
-    batch, bounded by *cap*, goes to one task; rows: (id, title, priority, score, snippet, pub_ts)."""
-    few = rows.orderBy(*order).limit(cap).select(
+def cluster_batch(rows: DataFrame, id_col: str, order: list[Column], threshold: float = EVENT, cap: int | None = BATCH_CAP) -> DataFrame:
+    """Ids of the winners among the first *cap* rows in order, among all rows without a cap. The greedy pass depends on
+    the order of rows, so the batch goes to one task; rows: (id, title, priority, score, snippet, pub_ts)."""
+    few = (rows if cap is None else rows.orderBy(*order).limit(cap)).select(
         F.col(id_col).alias("id"), "title", F.coalesce("priority", F.lit(9)).alias("priority"), F.coalesce("score", F.lit(0)).alias("score"),
         F.length(F.coalesce("snippet", F.lit(""))).alias("length"), F.coalesce(F.unix_millis(F.col("pub_ts").cast("timestamp")), F.lit(0)).alias("at"),
     )
-    numbered = few.withColumn("ord", F.row_number().over(W.orderBy(*[F.desc("at"), F.col("id")])))  # cap rows
+    numbered = few.withColumn("ord", F.row_number().over(W.orderBy(*[F.desc("at"), F.col("id")])))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(batches), ignore_index=True) if batches else pd.DataFrame()

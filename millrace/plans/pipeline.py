@@ -62,10 +62,26 @@ def unknown(rows: DataFrame, posted: DataFrame, queued: DataFrame, failures: Dat
     return filters.below_failures(rows, failures, "page")
 
 
+def one_an_event(rows: DataFrame) -> DataFrame:
+    """Of scored rows the winner of each event. All rows count, also beyond the 200 that a run of the feeds gives; those
+    without a headline fall out. The pass is greedy, newest first, in one task."""
+    batch = rows.select("article_id", "title", "priority", F.col("total").alias("score"), "snippet", "pub_ts")
+    return rows.join(dedup.cluster_batch(batch, "article_id", [], cap=None).select(F.col("id").alias("article_id")), "article_id", "left_semi")
+
+
+def unlike_queued(rows: DataFrame, queued: DataFrame) -> DataFrame:
+    """Rows whose ``headline`` is like none of the queued titles, under the lower threshold of the queue."""
+    titles = queued.where("title is not null").select(normalized_headline(F.col("title")).alias("norm"), F.col("title").alias("raw"), F.col("title").alias("pos"))
+    return dedup.fuzzy_known(rows, "headline", titles, dedup.QUEUED, cap=None).where("similar_to is null").drop("similar_to")
+
+
 def candidates(view: DataFrame, posted: DataFrame, queued: DataFrame, failures: DataFrame, recent: DataFrame, s: Settings) -> DataFrame:
-    """The best rows that are on topic, unknown, and like none of the recent headlines (norm, raw, pos); with their score."""
-    rows = unknown(scoring.scored(on_topic(view, s), s.now, s.trust), posted, queued, failures)
+    """The best rows that are on topic, one an event, unknown, and like none of the recent headlines (norm, raw, pos) nor
+    of the titles of *queued*, where it has the column ``title``; with their score. An event whose winner is known is gone."""
+    rows = unknown(one_an_event(scoring.scored(on_topic(view, s), s.now, s.trust)), posted, queued, failures)
     rows = dedup.fuzzy_known(rows, "headline", recent).where("similar_to is null").drop("similar_to")
+    if "title" in queued.columns:
+        rows = unlike_queued(rows, queued)
     return rows.orderBy(F.desc("total"), "article_id").limit(s.candidates).withColumn("low", F.col("total") < s.least_score)
 
 
