@@ -82,3 +82,11 @@ def test_only_needed_rows_reach_python(spark):
 def test_canonical_predicate(spark):
     df = spark.createDataFrame([("2025-01-02T10:00:00.000Z",), ("2025-01-02t10:00:00.000z",)], "t string")
     assert [r[0] for r in df.select(ts.is_canonical(F.col("t"))).collect()] == [True, False]
+
+
+def test_white_space_around_a_date(spark):
+    text, at = "2025-08-03T03:07:53.012Z", ms(2025, 8, 3, 3, 7, 53, 12000)
+    assert ts.parse_instant(" " * 60 + text + "\n" * 60, None, None) == at
+    ends = ["\n", "\r\n", "\r", "\u0085", " ", " " * 200]
+    df = spark.createDataFrame([(i, text + e, None) for i, e in enumerate(["", *ends])], "entry_id long, posted_at string, tz string")
+    assert sorted(tuple(r) for r in ts.normalize_posted_times(df).collect()) == [(i, at) for i in range(1, len(ends) + 1)]
