@@ -79,6 +79,22 @@ def _ordinary(garbled: str, original: str) -> bool:
     return original < "\xa0" or garbled[0] not in "ÂÃ"
 
 
+#: Scripts whose letters are leads of ordinary pairs and aren't mixed with Latin ones by chance.
+_SCRIPTS = ["\u0370-\u03ff", "\u0400-\u052f"]
+
+
+def _counts(text: str, begin: int, end: int) -> bool:
+    """Whether an ordinary pair is evidence by itself: a capital within a word, a letter directly after a mark that stands
+    at the end of words, or a lead letter of a script that the text, otherwise Latin, doesn't have."""
+    lead, mark, before, after = text[begin], text[begin + 1], text[begin - 1 : begin], text[end : end + 1]
+    if before.islower() and lead.isupper() or lead == "Ă" and not before.isalpha():
+        return True
+    if after.isalpha() and (mark not in "\xa0‘’–—" or mark in "‘–—" and after.islower() and not before.isalpha()):
+        return True
+    rest = text[:begin] + text[end:]
+    return any(re.match(f"[{s}]", lead) and re.search("[A-Za-z]", rest) and not re.search(f"[{s}]", rest) for s in _SCRIPTS)
+
+
 def _matches(text: str) -> Iterator[tuple[int, int, str, bool]]:
     """(begin, end, original, ordinary) of the longest matches from left to right, without overlap."""
     end_before = 0
@@ -91,7 +107,7 @@ def _matches(text: str) -> Iterator[tuple[int, int, str, bool]]:
 
 def _once(text: str) -> str:
     hits = list(_matches(text))
-    if not hits or all(h[3] for h in hits):
+    if not hits or all(h[3] and not _counts(text, h[0], h[1]) for h in hits):
         return text
     out, at = [], 0
     for begin, end, original, _ in hits:

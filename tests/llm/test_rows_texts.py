@@ -40,6 +40,20 @@ def test_twice_garbled_and_lossy():
     assert garbled.restore(long) == (True, "ok é " * 50_000 + "café")
 
 
+@pytest.mark.parametrize(
+    "text,encoding",
+    [("cœur", "cp1252"), ("đang", "cp1252"), ("nào", "cp1250"), ("à la", "cp1250"), ("Noël", "cp1250"), ("Noël", "cp1251"), ("août", "cp1251"), ("Änderung", "cp1250"), ("Österreich", "cp1250"), ("Ó", "cp1251"), ("À Évora", "cp1251")],
+)
+def test_one_ordinary_pair_alone(text, encoding):
+    bad = garbled._read_as(text.encode(), encoding)
+    assert garbled.restore(f"the word {bad} here") == (True, f"the word {text} here")
+
+
+@pytest.mark.parametrize("text", ["Д’Артаньян и О’Нил", "В’ячеслав", "ODTÜ’den", "„CASĂ“ – MANHÃ", "ОПЕК… и «ДА»", "CAFÉ—bar", "«ÉTÉ»", "В\xa0доме OpenAI, О\xa0нас"])
+def test_marks_after_capitals_in_correct_text(text):
+    assert garbled.restore(text) == (False, text)
+
+
 def test_garbled_fields(spark):
     df = spark.createDataFrame([(1, "cafÃ©", None, "x"), (2, None, "a “b”", "x"), (3, "", "â€™", "x"), (3, "", "â€™", "x")], "article_id long, title string, snippet string, field string")
     got = sorted(tuple(r) for r in garbled.garbled_fields(df).collect())
