@@ -4,7 +4,8 @@ For every pair (UTF-8 text, single-byte encoding it was wrongly read as) the gar
 character is computed once and put into one multi-pattern automaton. A text is scanned once; only spans of matches are
 replaced by their originals, so correct text around them stays as it is. Text garbled more than once is restored by
 scanning the result again until nothing matches. Sequences that are ordinary text in their own right count only beside
-further evidence. Replacement characters and C1 controls show wrong decoding too: the latter are restored where the byte
+further evidence. Letters of further scripts
+count from two in a row on. Text of one single-byte encoding read as another isn't looked for. Replacement characters and C1 controls show wrong decoding too: the latter are restored where the byte
 is printable in Windows-1252, the former can't be.
 
 JVM side: values that are plain ASCII can't be garbled and never reach Python. There is no shuffle. The automaton is
@@ -19,6 +20,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -34,7 +36,16 @@ ORIGINALS = [
     (0x2600, 0x27BF), (0x3000, 0x30FF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3), (0xFE0F, 0xFE0F), (0xFEFF, 0xFEFF), (0xFF01, 0xFF5E),
     (0x1F1E6, 0x1F1FF), (0x1F300, 0x1F64F), (0x1F680, 0x1F6FF), (0x1F900, 0x1F9FF),
 ]
+#: Further scripts. Correct text of other scripts has some of their garbled letters by chance (Шёлк, најљепши), so they
+#: count from two of a script in a row on.
+FURTHER = [
+    (0x531, 0x58A), (0x591, 0x5F4), (0x600, 0x6FF), (0x700, 0x77F), (0x780, 0x7B1), (0x900, 0x97F), (0x980, 0x9FE), (0xA01, 0xA76),
+    (0xA81, 0xAFF), (0xB01, 0xB77), (0xB82, 0xBFA), (0xC00, 0xC7F), (0xC80, 0xCF2), (0xD00, 0xD7F), (0xD81, 0xDF4), (0xE01, 0xE5B),
+    (0xE81, 0xEDF), (0xF00, 0xFDA), (0x1000, 0x109F), (0x10A0, 0x10FF), (0x1200, 0x139F), (0x13A0, 0x13FD), (0x1401, 0x167F), (0x1780, 0x17FF),
+    (0x1820, 0x18AA), (0xFB50, 0xFDFF), (0xFE70, 0xFEFC),
+]
 _C1 = re.compile("[\x80-\x9f]")
+_BOXES = re.compile("[\u2500-\u25ff]+")
 _LETTER = r"[^\W\d_]"
 
 
@@ -49,12 +60,12 @@ def _read_as(raw: bytes, encoding: str) -> str:
     return "".join(out)
 
 
-def sequences() -> dict[str, str]:
+def sequences(originals: list[tuple[int, int]] = ORIGINALS) -> dict[str, str]:
     """Garbled sequence to original character, for all encodings; the first encoding listed wins."""
     out: dict[str, str] = {}
     for encoding in ENCODINGS:
         table = [_read_as(bytes([b]), encoding) for b in range(256)]
-        for low, high in ORIGINALS:
+        for low, high in originals:
             for point in range(low, high + 1):
                 raw = chr(point).encode()
                 out.setdefault("".join(table[b] for b in raw), chr(point))
@@ -72,6 +83,18 @@ def automaton():
     return found
 
 
+@lru_cache(maxsize=1)
+def further():
+    """Automaton of the further scripts; what is found is (length, original, script)."""
+    import ahocorasick
+
+    found = ahocorasick.Automaton()
+    for garbled, original in sequences(FURTHER).items():
+        found.add_word(garbled, (len(garbled), original, next(k for k, (low, high) in enumerate(FURTHER) if low <= ord(original) <= high)))
+    found.make_automaton()
+    return found
+
+
 def _ordinary(garbled: str, original: str) -> bool:
     """Whether a sequence can stand in correct text: a letter before a quotation mark, dash, dots or a no-break space."""
     if len(garbled) != 2 or not garbled[0].isalpha() or garbled[1] not in "\xa0‘’“”„…–—»«›‹":
@@ -95,20 +118,27 @@ def _counts(text: str, begin: int, end: int) -> bool:
     return any(re.match(f"[{s}]", lead) and re.search("[A-Za-z]", rest) and not re.search(f"[{s}]", rest) for s in _SCRIPTS)
 
 
-def _matches(text: str) -> Iterator[tuple[int, int, str, bool]]:
-    """(begin, end, original, ordinary) of the longest matches from left to right, without overlap."""
+def _matches(text: str, found=None) -> Iterator[tuple[int, int, str, int]]:
+    """(begin, end, original, ordinary or script) of the longest matches from left to right, without overlap."""
     end_before = 0
-    for last, (length, original, ordinary) in automaton().iter_long(text):
+    for last, (length, original, kind) in (found or automaton()).iter_long(text):
         begin = last + 1 - length
         if begin >= end_before:
-            yield begin, last + 1, original, ordinary
+            yield begin, last + 1, original, kind
             end_before = last + 1
 
 
+def _run(text: str, hits: list[tuple[int, int, str, int]]) -> bool:
+    """Whether two letters of one further script stand side by side, not made of box-drawing characters only."""
+    return any(a[1] == b[0] and a[3] == b[3] and not _BOXES.fullmatch(text, a[0], b[1]) for a, b in pairwise(hits))
+
+
 def _once(text: str) -> str:
-    hits = list(_matches(text))
-    if not hits or all(h[3] and not _counts(text, h[0], h[1]) for h in hits):
-        return text
+    hits = list(_matches(text, further()))
+    if not _run(text, hits):
+        hits = list(_matches(text))
+        if not hits or all(h[3] and not _counts(text, h[0], h[1]) for h in hits):
+            return text
     out, at = [], 0
     for begin, end, original, _ in hits:
         out += (text[at:begin], original)
@@ -119,7 +149,7 @@ def _once(text: str) -> str:
 def restore(text: str) -> tuple[bool, str]:
     """(garbled, text with every restorable span replaced)."""
     now, garbled = text, "�" in text
-    for _ in range(4):
+    for _ in range(6):
         after = _once(now)
         if after == now:
             break

@@ -54,6 +54,18 @@ def test_marks_after_capitals_in_correct_text(text):
     assert garbled.restore(text) == (False, text)
 
 
+@pytest.mark.parametrize("encoding", ["cp1252", "latin-1", "cp1250", "cp1251", "cp437", "mac_roman"])
+@pytest.mark.parametrize("text", ["العربية — “نموذج”", "שלום עולם", "नमस्ते दुनिया", "สวัสดี", "Բարեւ", "ქართული", "አማርኛ", "ខ្មែរ"])
+def test_round_trip_of_further_scripts(text, encoding):
+    bad = garbled._read_as(text.encode(), encoding)
+    assert garbled.restore(f"correct {bad} end") == (True, f"correct {text} end")
+
+
+@pytest.mark.parametrize("text", ["Шёлк и Щётка", "најљепши дан", "Фінляндія, Цікаво", "┌┐┌┐ █▓█▓", "3×“a” 4×—5", "ÚŽASNÝ", "العربية", "नमस्ते"])
+def test_correct_text_beside_further_scripts(text):
+    assert garbled.restore(text) == (False, text)
+
+
 def test_garbled_fields(spark):
     df = spark.createDataFrame([(1, "cafÃ©", None, "x"), (2, None, "a “b”", "x"), (3, "", "â€™", "x"), (3, "", "â€™", "x")], "article_id long, title string, snippet string, field string")
     got = sorted(tuple(r) for r in garbled.garbled_fields(df).collect())
