@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def latest(log: DataFrame, key: list[str], version: list[str]) -> DataFrame:
@@ -28,14 +32,25 @@ def with_expiry(rows: DataFrame, now: Column, seconds: int | None) -> DataFrame:
 
 def throttled(events: DataFrame, kind: str, at: str, seconds: int) -> DataFrame:
     """Events that pass when each kind may pass once in *seconds*: an event passes if that long went by since the last
-    one that did. The chain depends on order, so each kind is folded in time order. Candidates are thinned first: within
-    a window of that length from the epoch only the first event and those that could follow a pass in the window before
-    can pass, so a kind's fold sees at most as many steps as it has distinct times."""
-    t = F.unix_micros(F.col(at).cast("timestamp"))
-    times = events.groupBy(kind).agg(F.sort_array(F.collect_set(t)).alias("_t"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("kept"))
-    step = lambda acc, x: F.when(acc["last"].isNull() | (x - acc["last"] >= seconds * 1_000_000), F.struct(x.alias("last"), F.array_append(acc["kept"], x).alias("kept"))).otherwise(acc)
-    return times.select(kind, F.explode(F.aggregate("_t", start, step)["kept"]).alias("_p")).select(kind, F.timestamp_micros("_p").alias(at))
+    one that did. The chain depends on order, so each kind's distinct times are sorted and streamed through one task, which
+    keeps nothing of a kind but its last pass; the sort may spill, so a kind's size isn't bounded by memory."""
+    schema = events.select(kind, F.col(at).cast("timestamp").alias(at)).schema
+    t = F.unix_micros(F.col(at).cast("timestamp")).alias("_t")
+    times = events.select(kind, t).where("_t is not null").distinct().repartition(kind).sortWithinPartitions(kind, "_t")
+    gap = seconds * 1_000_000
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = None, None
+        for batch in batches:
+            kept = []
+            for i, (k, x) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if last is None or k != now or x - last >= gap:
+                    now, last = k, x
+                    kept.append(i)
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    passed = times.mapInArrow(fold, StructType([schema[kind], StructField("_t", LongType())]))
+    return passed.select(kind, F.timestamp_micros("_t").alias(at))
 
 
 def age_minutes(at: Column, now: Column) -> Column:

@@ -142,3 +142,16 @@ def test_funnel_and_health(spark):
     reg = spark.createDataFrame([("a",), ("b",)], "name string")
     src = spark.createDataFrame([("a",), ("a",), ("z",)], "source string")
     assert rows(statistics.source_health(reg, src)) == [("a", 2, True), ("b", 0, False)]
+
+
+def test_throttle_carries_state_from_batch_to_batch(spark):
+    ev = spark.range(400).select(F.when(F.col("id") % 2 == 0, "x").alias("k"), F.timestamp_seconds(F.col("id") * 60).alias("at")).union(spark.createDataFrame([("x", None)], "k string, at timestamp"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        passed = state.throttled(ev.union(ev), "k", "at", 3600)
+        got = rows(passed.select("k", (F.unix_seconds("at") / 60).cast("int").alias("m")))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == sorted([("x", m) for m in range(0, 400, 60)] + [(None, m) for m in range(1, 400, 60)], key=repr)
+    plan = passed._jdf.queryExecution().toString()
+    assert "collect_set" not in plan and "MapInArrow" in plan  # no kind is gathered in one row
