@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,10 +52,13 @@ def ship_package(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` where the cluster names one.
 
-    Only where it is unset (tests, local mode) a temporary folder is taken and set.
+    Only in local mode may it be unset: then a temporary folder is taken. A cluster without the setting is an error, since
+    executors would write to disks of their own.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = getattr(spark.sparkContext, "_millrace_shared", None)
         if d is None:
             d = "file://" + tempfile.mkdtemp(prefix="millrace-shared-")
@@ -61,36 +66,47 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+def cut(df: DataFrame, name: str = "cut", drop: Iterable[DataFrame] = ()) -> DataFrame:
     """Write *df* to a table in the shared folder and read it back: a lineage cut that outlives executors.
 
-    The files go when the driver process ends.
+    The tables in *drop*, made by earlier cuts and needed for nothing but this one, go at once; all others when the driver
+    process ends.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._millrace_path = path
+    for old in drop:
+        remove(spark, old._millrace_path)
+    return out
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, removed when the driver process ends."""
     path = f"{shared_dir(spark)}/millrace-{name}-{uuid.uuid4().hex}"
-    _remove_at_exit(spark, path)
+    _left.add(path)
+    if len(_left) == 1:
+        atexit.register(_remove_all, spark)
     return path
 
 
-def _remove_at_exit(spark: SparkSession, path: str) -> None:
-    import atexit
+_left: set[str] = set()
 
-    def drop() -> None:
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a path of the shared folder; no error if it isn't there."""
+    _left.discard(path)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _remove_all(spark: SparkSession) -> None:
+    for path in list(_left):
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            remove(spark, path)
         except Exception:  # the context may be gone already
-            pass
-
-    atexit.register(drop)
+            return
 
 
 def shuffle_width(spark: SparkSession) -> int:
