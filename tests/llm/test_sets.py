@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from millrace.functions.text import normalize_headline
 from millrace.llm import components, formatting_duplicates, history, near_duplicates, setjoin
 from millrace.llm.tokensets import parity_sketch, mix, rows_of, trigram_sets
+from millrace.session import bucketed
 
 WORDS = "acme robot arm ships hospital cloud vendor chip model launch panel weather school market fund open source vote ends drone battery".split()
 
@@ -139,14 +140,22 @@ def test_formatting_copies(spark):
     assert formatting_duplicates.collapsed(df.where("false")).count() == 0
 
 
-def test_filter_knows_every_repeat(spark):
-    keys = spark.range(4000).select((F.col("id") % 3000).alias("k1")).select(F.xxhash64("k1").alias("k1")).repartition(5)
-    filt = formatting_duplicates.repeat_filter(keys, 4000)
-    values = np.array([r[0] for r in keys.groupBy("k1").count().where("count > 1").select("k1").collect()])
-    places = formatting_duplicates._places(values, len(filt) * 8)
-    assert formatting_duplicates._inside(filt, places).all() and len(values) == 1000
-    single = np.array([r[0] for r in keys.groupBy("k1").count().where("count = 1").select("k1").collect()])
-    assert formatting_duplicates._inside(filt, formatting_duplicates._places(single, len(filt) * 8)).mean() < 0.02
+@pytest.mark.parametrize("segment", [1 << 12, 1 << 22])
+def test_filter_knows_every_repeat_and_few_else(spark, monkeypatch, segment):
+    """Small segments stand for a large input: the share of unique keys that pass for repeats doesn't grow."""
+    monkeypatch.setattr(formatting_duplicates, "SEGMENT", segment)
+    n = 40_000
+    ids = spark.range(0, n, 1, 5).select("id", F.when(F.col("id") % 50 == 0, F.lit(7)).when(F.col("id") % 3 == 0, F.col("id") % 3000 + n).otherwise(F.col("id")).alias("v"))
+    keys = ids.select("id", F.when(F.col("id") % 97 != 1, F.xxhash64("v")).alias("k1"), F.xxhash64("v", "v").alias("k2")).withColumn("part", F.spark_partition_id())
+    stored = bucketed(keys, "part", "test")
+    got = formatting_duplicates.flagged(stored, n)
+    plan = got._jdf.queryExecution().toString()
+    assert plan.count("Exchange hashpartitioning(part") == 1, "only the answers are shuffled by partition"
+    counts = keys.groupBy("k1").agg(F.count("*").alias("n"))
+    rows = got.join(counts, "k1", "left").groupBy((F.coalesce("n", F.lit(0)) > 1).alias("twice"), "maybe").count().collect()
+    table = {(r.twice, r.maybe): r["count"] for r in rows}
+    assert (True, False) not in table and table[True, True] > 10_000
+    assert table.get((False, True), 0) < 0.02 * table[False, False]
 
 
 def test_depth_is_widened_to_the_target():
