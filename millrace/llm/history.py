@@ -1,17 +1,25 @@
 """Deduplicating new batches against all history (problem 4).
 
-A prefix-tree hash forest: every text has TREES signatures of LEVELS eight-bit min-hash values, one for each tree.
-For each tree the signatures are kept sorted, as runs in the shared folder, so that a prefix is a range. A batch is
-looked up by binary search: the prefix is widened level by level until texts of the threshold similarity meet with at
-least the target probability in some tree; what lies in the range is thinned by exact bounds (size and 64 parity bits)
-and verified exactly. An accepted batch becomes a further run; merging sorts runs of a cell into one. History is never
-signed again.
+A prefix-tree hash forest: every text has TREES signatures of LEVELS eight-bit min-hash values, one for each tree. The
+signatures of a run of texts are kept as sorted blocks under one folder a cell, the cell being a hash of the tree and of
+the prefix, so that whatever a lookup may find lies in its own cell. A batch is signed, persisted as a further run and
+looked up: only the folders of its own cells are read, blocks whose ranges don't overlap are passed over, and within a block
+a prefix is a range that binary search finds. The prefix is widened level by level until texts of the threshold similarity
+meet with at least the target probability in some tree; what lies in the range is thinned by exact bounds (size and 64
+parity bits) and verified exactly. Every MERGE_EVERY runs the new ones are merged into one. History is neither signed nor
+sorted again.
 
 With 16 trees and a target of 0.9999 the prefix is widened to 6 levels: a pair at the threshold itself is missed with
-probability 5e-5, a closer one far less. Equal headlines and equal pages are found by equality, without the forest.
+probability 5e-5, a closer one far less. Equal headlines and equal pages are found by equality, in tables that are kept
+in shards by hash beside the forest.
 
-Scale: one shuffle of about 30 bytes a signature; cells are sized from the number of texts, and a range too long for a
-task is cut into chunk pairs that are spread over the cluster.
+The query takes batches in their order and puts neighbouring small ones together to rounds of ROUND_ROWS rows, MOST_ROUNDS
+at most; each round goes through the runs of all before it.
+
+Scale: a signature takes about 30 bytes on disk once. A lookup joins the batch's blocks with those of its cells: a small
+batch is broadcast by Spark's own size check, so the runs aren't shuffled; a large one is shuffled with its cells only. A
+unit of work is a pair of blocks of at most BLOCK signatures, so a cell that very many texts share is many small units,
+which AQE splits; no task holds a cell.
 
 Defined results: a null title has an empty headline, which is similar to none; a null link falls back to the canonical
 URL, a record without both has no page; rows without batch are left out; a record is no pair with itself; repeated rows
@@ -20,6 +28,7 @@ count once; empty tables give an empty result.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from fractions import Fraction
 from math import ceil
@@ -32,16 +41,22 @@ from pyspark.sql import functions as F
 from millrace.functions.text import normalized_headline
 from millrace.functions.url import canonical_url
 from millrace.llm.formatting_duplicates import page
-from millrace.llm.setjoin import CELL_BYTES, CHUNK, MET, near, ordered_pairs, pack, pair_table, spread, verified
+from millrace.llm.setjoin import near, ordered_pairs, verified
 from millrace.llm.tokensets import mix, parity_sketch, rows_of, trigram_sets
-from millrace.session import cut, scratch_path, shuffle_width
+from millrace.operators.ranges import running_total
+from millrace.session import cut, remove, scratch_path, shuffle_width
 
 THRESHOLD = Fraction(88, 100)
 TREES, LEVELS, RECALL = 16, 8, 0.9999
-#: A range with more comparisons than this is split over tasks.
-HOT_RANGE = 400_000_000
+#: Signatures in a block, and those that are sorted together when runs are merged.
+BLOCK, SORTED = 1 << 14, 1 << 19
+CELL_BYTES = 4 << 20
+ROUND_ROWS, MOST_ROUNDS, MERGE_EVERY = 20_000, 16, 4
+#: Texts whose signatures a task holds before it hands them on.
+HELD = 1 << 15
 _COLUMNS = (("tree", "u1"), ("sig", "<u8"), ("uid", "<i8"), ("par", "<u8"), ("size", "<u4"))
 _ROW_BYTES = 29
+_BLOCKS = "cell int, lo long, hi long, blob binary"
 
 
 def widened_depth(t: float, recall: float = RECALL, trees: int = TREES, levels: int = LEVELS) -> int:
@@ -75,103 +90,207 @@ def _unpack(blobs: list[bytes]) -> dict[str, np.ndarray]:
         for k, d in _COLUMNS:
             got[k].append(np.frombuffer(blob, d, n, at))
             at += np.dtype(d).itemsize * n
-    c = {k: np.concatenate(v) for k, v in got.items()}
-    order = np.lexsort((c["sig"], c["tree"]))
-    return {k: v[order] for k, v in c.items()}
+    return {k: np.concatenate(v) for k, v in got.items()}
+
+
+def _place(tree: np.ndarray, sig: np.ndarray) -> np.ndarray:
+    """Tree and six levels of a signature in one ascending number."""
+    return (tree.astype(np.int64) << 48) | (sig >> np.uint64(16)).astype(np.int64)
+
+
+def _blocks(cell: int, c: dict[str, np.ndarray], most: int) -> list[tuple[int, int, int, bytes]]:
+    """(cell, lo, hi, blob): the entries sorted, each once, in blocks of *most*."""
+    order = np.lexsort((c["uid"], c["sig"], c["tree"]))
+    c = {k: v[order] for k, v in c.items()}
+    first = np.ones(len(order), bool)
+    first[1:] = (c["uid"][1:] != c["uid"][:-1]) | (c["sig"][1:] != c["sig"][:-1]) | (c["tree"][1:] != c["tree"][:-1])
+    c = {k: v[first] for k, v in c.items()}
+    at = _place(c["tree"], c["sig"])
+    cuts = [slice(x, min(x + most, len(at))) for x in range(0, len(at), most)]
+    return [(cell, int(at[s][0]), int(at[s][-1]), _pack(c, s)) for s in cuts]
+
+
+def _rows(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [()] * 4
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["cell", "lo", "hi", "blob"])
+
+
+def _compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted blocks of blocks that stream by in the order of their cells; at most SORTED entries are held."""
+    now, held, size = None, [], 0
+    for b in batches:
+        for cell, blob in zip(b.column(0).to_pylist(), b.column(3)):
+            if held and (cell != now or size >= SORTED):
+                yield _rows(_blocks(now, _unpack(held), BLOCK))
+                held, size = [], 0
+            now = cell
+            held.append(blob.as_py())
+            size += len(held[-1]) // _ROW_BYTES
+    if held:
+        yield _rows(_blocks(now, _unpack(held), BLOCK))
+
+
+def found_in_blocks(q: dict[str, np.ndarray], e: dict[str, np.ndarray], depth: int, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a signature of one sorted block and one of another that share a prefix and pass the bounds."""
+    shift = np.uint64(8 * (LEVELS - depth))
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for tree in np.intersect1d(q["tree"], e["tree"]):
+        qs, es = ({k: v[slice(*np.searchsorted(c["tree"], (tree, tree + 1)))] for k, v in c.items()} for c in (q, e))
+        prefix = qs["sig"] >> shift
+        # the range of a prefix among the sorted signatures
+        low = np.searchsorted(es["sig"], prefix << shift, "left")
+        high = np.searchsorted(es["sig"], prefix << shift | ((np.uint64(1) << shift) - np.uint64(1)), "right")
+        both = {k: np.concatenate([qs[k], es[k]]) for k in ("uid", "par", "size")} | {"pos": np.zeros(len(qs["uid"]) + len(es["uid"]), np.uint8)}
+        ends = np.cumsum(high - low)
+        total = int(ends[-1]) if len(ends) else 0
+        for at in range(0, total, 1 << 22):
+            flat = np.arange(at, min(at + (1 << 22), total))
+            i = np.searchsorted(ends, flat, "right")
+            j = low[i] + flat - (ends[i] - (high - low)[i])
+            ok = near(both, i, j + len(qs["uid"]), t)
+            a.append(qs["uid"][i[ok]])
+            b.append(es["uid"][j[ok]])
+    return ordered_pairs(np.concatenate(a), np.concatenate(b))
 
 
 class HashForest:
-    """Sorted runs of signatures under *path*; cells is fixed when a forest is begun."""
+    """Runs of sorted blocks under *path*, for lookups at similarity *t* or more; its cells are fixed when it is begun."""
 
-    def __init__(self, spark: SparkSession, path: str, cells: int):
-        self.spark, self.path, self.cells = spark, path, cells
+    def __init__(self, spark: SparkSession, path: str, cells: int, t: Fraction = THRESHOLD, recall: float = RECALL):
+        self.spark, self.path, self.cells, self.t, self.recall = spark, path, cells, t, recall
+        self.depth = widened_depth(float(t), recall)
 
-    def signed(self, norms: DataFrame) -> DataFrame:
-        """(cell, blob) of texts (uid, norm), none empty."""
-        cells = self.cells
+    def _signed(self, norms: DataFrame) -> DataFrame:
+        cells, cut_off = self.cells, np.uint64(8 * (LEVELS - self.depth))
 
         def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if not len(b):
-                    continue
-                sigs, par, sizes = signatures(b.column(1).to_pylist())
-                n = len(b)
-                cols = {"tree": np.tile(np.arange(TREES), n), "sig": sigs.ravel(), "uid": np.repeat(b.column(0).to_numpy(), TREES), "par": np.repeat(par, TREES), "size": np.repeat(sizes, TREES)}
-                cell = (mix((cols["sig"] >> np.uint64(40)) + (cols["tree"].astype(np.uint64) << np.uint64(32))) % np.uint64(cells)).astype(np.int64)
-                order = np.lexsort((cols["sig"], cols["tree"], cell))
+            uids: list[np.ndarray] = []
+            texts: list[str] = []
+
+            def out() -> pa.RecordBatch:
+                sigs, par, sizes = signatures(texts)
+                cols = {"tree": np.tile(np.arange(TREES, dtype=np.uint8), len(texts)), "sig": sigs.ravel()}
+                cols |= {k: np.repeat(v, TREES) for k, v in {"uid": np.concatenate(uids), "par": par, "size": sizes}.items()}
+                cell = (mix((cols["sig"] >> cut_off) ^ mix(cols["tree"].astype(np.uint64) + np.uint64(1))) % np.uint64(cells)).astype(np.int64)
+                order = np.argsort(cell, kind="stable")
                 ends = np.searchsorted(cell[order], np.arange(cells + 1))
-                used = np.flatnonzero(np.diff(ends))
-                blobs = [_pack(cols, order[ends[k] : ends[k + 1]]) for k in used]
-                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(blobs, pa.binary())], names=["cell", "blob"])
+                parts = ((int(k), {n: v[order[ends[k] : ends[k + 1]]] for n, v in cols.items()}) for k in np.flatnonzero(np.diff(ends)))
+                return _rows([row for k, c in parts for row in _blocks(k, c, BLOCK)])
+
+            for b in batches:
+                uids.append(b.column(0).to_numpy())
+                texts += b.column(1).to_pylist()
+                if len(texts) >= HELD:
+                    yield out()
+                    uids, texts = [], []
+            if texts:
+                yield out()
 
-        return norms.select("uid", "norm").mapInArrow(sign, "cell int, blob binary")
+        return norms.select("uid", "norm").mapInArrow(sign, _BLOCKS)
+
+    def _write(self, blocks: DataFrame, run: str) -> None:
+        # a rebalance, not a repartition: AQE splits a cell that very many texts share
+        rows = blocks.hint("rebalance", "cell").sortWithinPartitions("cell", "lo").mapInArrow(_compact, _BLOCKS)
+        rows.write.mode("overwrite").partitionBy("cell").parquet(f"{self.path}/run={run}")
 
     def append(self, norms: DataFrame, run: str) -> None:
-        """Persist a run: the signatures of (uid, norm)."""
-        self.signed(norms).write.mode("overwrite").parquet(f"{self.path}/run={run}")
-
-    def runs(self) -> DataFrame:
-        return self.spark.read.schema("cell int, blob binary, run string").parquet(self.path).select("cell", "blob")
-
-    def merge(self, target: str) -> HashForest:
-        """A forest under *target* whose cells hold one sorted run each; the old one stays until its user drops it."""
-
-        def one(table: pa.Table) -> pa.Table:
-            c = _unpack(table.column("blob").to_pylist())
-            return pa.table({"cell": table.column("cell").slice(0, 1), "blob": pa.array([_pack(c, slice(None))], pa.binary())})
-
-        self.runs().groupBy("cell").applyInArrow(one, "cell int, blob binary").write.mode("overwrite").parquet(f"{target}/run=merged")
-        return HashForest(self.spark, target, self.cells)
-
-    def candidates(self, batch: DataFrame, t: Fraction, recall: float = RECALL, hot: int = HOT_RANGE, within: bool = True) -> DataFrame:
-        """(a, b): pairs of a text of *batch* and one of the forest (or, if *within*, another of the batch)."""
-        depth = widened_depth(float(t), recall)
-        shift = np.uint64(8 * (LEVELS - depth))
-        assert depth >= 3, "cells are made of the first three levels"
-
-        def search(table: pa.Table) -> pa.Table:
-            new = table.column("new").to_pylist()
-            blobs = table.column("blob").to_pylist()
-            q = _unpack([b for b, n in zip(blobs, new) if n])
-            e = _unpack([b for b, n in zip(blobs, new) if within or not n])
-            found_a, found_b, tiles = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
-            for tree in np.unique(q["tree"]):
-                qs = {k: v[q["tree"] == tree] for k, v in q.items()}
-                es = {k: v[e["tree"] == tree] for k, v in e.items()}
-                prefix = qs["sig"] >> shift
-                # the range of a prefix among the sorted signatures
-                low = np.searchsorted(es["sig"], prefix << shift, "left")
-                high = np.searchsorted(es["sig"], prefix << shift | ((np.uint64(1) << shift) - np.uint64(1)), "right")
-                begin = np.flatnonzero(np.r_[True, prefix[1:] != prefix[:-1]])
-                width = np.diff(np.r_[begin, len(prefix)])
-                easy = np.ones(len(prefix), bool)
-                for s, w in zip(begin, width):
-                    if w * int(high[s] - low[s]) > hot:
-                        easy[s : s + w] = False
-                        left = [_chunk(qs, x, min(x + CHUNK, s + w)) for x in range(s, s + w, CHUNK)]
-                        right = [_chunk(es, x, min(x + CHUNK, high[s])) for x in range(low[s], high[s], CHUNK)]
-                        tiles += [(x, y) for x in left for y in right]
-                who = np.flatnonzero(easy)
-                count = (high - low)[who]
-                ends = np.cumsum(count)
-                for at in range(0, int(ends[-1]) if len(ends) else 0, 1 << 22):
-                    flat = np.arange(at, min(at + (1 << 22), int(ends[-1])))
-                    row = np.searchsorted(ends, flat, "right")
-                    i, j = who[row], low[who[row]] + flat - (ends[row] - count[row])
-                    both = {k: np.concatenate([qs[k], es[k]]) for k in ("uid", "par", "size")} | {"pos": np.zeros(len(qs["uid"]) + len(es["uid"]), np.uint8)}
-                    ok = near(both, i, j + len(qs["uid"]), t)
-                    found_a.append(qs["uid"][i[ok]])
-                    found_b.append(es["uid"][j[ok]])
-            return pair_table(*ordered_pairs(np.concatenate(found_a), np.concatenate(found_b)), tiles)
-
-        here = self.signed(batch).withColumn("new", F.lit(True))
-        return spread(self.runs().withColumn("new", F.lit(False)).unionByName(here).groupBy("cell").applyInArrow(search, MET), t)
-
-
-def _chunk(c: dict[str, np.ndarray], begin: int, end: int) -> bytes:
-    """A part of a range in the form that the set join's chunk pairs have, by size."""
-    order = begin + np.argsort(c["size"][begin:end], kind="stable")
-    return pack({"sig": c["sig"], "uid": c["uid"], "par": c["par"], "size": c["size"], "pos": np.zeros(len(c["sig"]), np.uint8)}, order)
+        """Persist a run: the signatures of (uid, norm), none empty."""
+        self._write(self._signed(norms), run)
+
+    def blocks(self) -> DataFrame:
+        """(lo, hi, blob, run, cell) of all runs; run and cell are folders."""
+        return self.spark.read.schema("lo long, hi long, blob binary, run string, cell int").parquet(self.path)
+
+    def merge(self, runs: list[str], into: str) -> None:
+        """One run in place of several."""
+        self._write(self.blocks().where(F.col("run").isin(runs)).select("cell", "lo", "hi", "blob"), into)
+        for run in runs:
+            remove(self.spark, f"{self.path}/run={run}")
+
+    def touched(self, run: str) -> DataFrame:
+        """The blocks that a lookup of *run* reads: those in its own cells."""
+        own = self.spark.read.schema("lo long, cell int").parquet(f"{self.path}/run={run}")
+        cells = {int(c) for f in own.inputFiles() for c in re.findall(r"/cell=(\d+)/", f)}
+        return self.blocks().where(F.col("cell").isin(sorted(cells)))
+
+    def candidates(self, run: str, within: bool = True) -> DataFrame:
+        """(a, b), a < b: pairs of a text of *run* and one of any run (if *within*, of the run itself too)."""
+        t, depth = self.t, self.depth
+        coarse = 8 * max(0, 6 - depth)
+        from_, to = (lambda c: F.shiftleft(F.shiftright(c, coarse), coarse)), (lambda c: F.shiftleft(F.shiftright(c, coarse) + 1, coarse) - 1)
+        q = self.blocks().where(F.col("run") == run).select("cell", from_("lo").alias("q_lo"), to("hi").alias("q_hi"), F.col("lo").alias("q_at"), F.col("blob").alias("q"))
+        e = self.touched(run).where(F.lit(within) | (F.col("run") != run)).withColumnRenamed("blob", "e")
+        once = (F.col("run") != run) | (F.col("q_at") <= F.col("lo"))  # two blocks of the run meet once
+        met = q.join(e, "cell").where((F.col("q_lo") <= F.col("hi")) & (F.col("lo") <= F.col("q_hi")) & once)
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                last, mine = None, {}
+                for x, y in zip(b.column(0), b.column(1)):
+                    x = x.as_py()
+                    mine = mine if x is last or x == last else _unpack([x])
+                    last = x
+                    lo, hi = found_in_blocks(mine, _unpack([y.as_py()]), depth, t)
+                    if len(lo):
+                        yield pa.RecordBatch.from_arrays([pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], names=["a", "b"])
+
+        return met.select("q", "e").mapInArrow(search, "a long, b long").distinct()
+
+
+class History:
+    """Everything accepted so far: the forest, and the records in shards by headline and by page. It lasts under *path*, so
+    later batches may be added by another session."""
+
+    def __init__(self, spark: SparkSession, path: str, cells: int, t: Fraction = THRESHOLD, shards: int | None = None):
+        self.spark, self.path, self.t = spark, path, t
+        self.shards = shards or shuffle_width(spark)
+        self.forest = HashForest(spark, f"{path}/forest", cells, t)
+        self.young: list[str] = []
+
+    def add(self, records: DataFrame, run: str) -> None:
+        """Persist a run of records (id, seq, page, norm, uid)."""
+        for name, key, columns in (("headlines", F.col("uid"), ["norm", "uid"]), ("pages", F.xxhash64("page"), ["page"])):
+            rows = records.withColumn("key", F.when(F.col(columns[0]) != "", key) if name == "headlines" else F.when(F.col("page").isNotNull(), key))
+            rows = rows.where("key is not null").select("key", *columns[:1], "id", "seq", F.pmod("key", F.lit(self.shards)).cast("int").alias("shard"))
+            rows.hint("rebalance", "shard").write.mode("overwrite").partitionBy("shard").parquet(f"{self.path}/{name}/run={run}")
+        texts = self.headlines().where(F.col("run") == run).groupBy(F.col("key").alias("uid")).agg(F.min("norm").alias("norm"))
+        self.forest.append(texts, run)
+
+    def headlines(self) -> DataFrame:
+        return self.spark.read.schema("key long, norm string, id long, seq long, run string, shard int").parquet(f"{self.path}/headlines")
+
+    def pages(self) -> DataFrame:
+        return self.spark.read.schema("key long, page string, id long, seq long, run string, shard int").parquet(f"{self.path}/pages")
+
+    def matches(self, run: str) -> DataFrame:
+        """(id_a, id_b), id_a < id_b: a record of *run* and one before it with the same page or a similar headline."""
+        pairs = cut(self.forest.candidates(run), "pairs")
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        shard = F.pmod("key", F.lit(self.shards)).cast("int")
+        texts = self.headlines().join(asked.withColumn("shard", shard), ["shard", "key"], "left_semi").groupBy(F.col("key").alias("uid")).agg(F.min("norm").alias("norm"))
+        links = cut(verified(pairs, texts, self.t), "links", drop=[pairs])
+        new = self.headlines().where(F.col("run") == run)
+        equal = new.select(F.col("key").alias("a"), F.col("key").alias("b")).distinct()
+        ways = links.union(links.select("b", "a")).union(equal)
+        before = F.col("y.seq").isNull() | (F.col("y.seq") < F.col("x.seq"))
+        mine = ways.join(new.select(F.col("key").alias("a"), "id", "seq"), "a").withColumn("shard", F.pmod("b", F.lit(self.shards)).cast("int"))
+        alike = mine.alias("x").join(self.headlines().alias("y"), (F.col("x.shard") == F.col("y.shard")) & (F.col("b") == F.col("y.key"))).where(before)
+        pages = self.pages()
+        page_of = pages.where(F.col("run") == run).alias("x")
+        same = page_of.join(pages.alias("y"), (F.col("x.shard") == F.col("y.shard")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.page") == F.col("y.page"))).where(before)
+        ids = [F.col("x.id").alias("x"), F.col("y.id").alias("y")]
+        found = alike.select(*ids).union(same.select(*ids)).where("x <> y")
+        out = cut(found.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct(), "matches", drop=[links])
+        self._settle(run)
+        return out
+
+    def _settle(self, run: str) -> None:
+        """Merge the forest's young runs once there are enough of them."""
+        self.young.append(run)
+        if len(self.young) >= MERGE_EVERY:
+            self.forest.merge(self.young, f"{run}-merged")
+            self.young = []
 
 
 def cells_for(spark: SparkSession, n: int) -> int:
@@ -189,32 +308,29 @@ def batch_records(incoming: DataFrame) -> DataFrame:
     return rows.select(F.col("article_id").alias("id"), F.col("batch_id").alias("seq"), page(F.col("link"), F.col("canonical_url")).alias("page"), normalized_headline(F.col("title")).alias("norm"))
 
 
-def _texts(records: DataFrame) -> DataFrame:
-    return records.where("uid is not null").groupBy("uid").agg(F.min("norm").alias("norm"))
+def in_rounds(records: DataFrame, rows: int = ROUND_ROWS, most: int = MOST_ROUNDS) -> DataFrame:
+    """*records* with ``round``: -1 of what has no seq, else a number that rises with seq; no seq is divided."""
+    sizes = records.where("seq is not null").groupBy("seq").agg(F.count("*").alias("n"))
+    total = records.where("seq is not null").count()
+    placed = running_total(sizes, [F.col("seq")], "n", "before").select("seq", F.floor(F.col("before") / max(rows, ceil(total / most), 1)).cast("int").alias("round"))
+    return records.join(placed, "seq", "left").withColumn("round", F.coalesce("round", F.lit(-1)))
 
 
-def earlier_matches(posted: DataFrame, incoming: DataFrame, t: Fraction = THRESHOLD, forest_path: str | None = None) -> DataFrame:
+def earlier_matches(posted: DataFrame, incoming: DataFrame, t: Fraction = THRESHOLD, path: str | None = None, round_rows: int = ROUND_ROWS, most_rounds: int = MOST_ROUNDS) -> DataFrame:
     """(id_a, id_b), id_a < id_b: an incoming row and a record before it (posted, or of an earlier batch) that have the
     same page, or headlines of similarity >= t."""
     spark = incoming.sparkSession
     keyed = posted_records(posted).unionByName(batch_records(incoming))
-    uid = F.when(F.col("norm") != "", F.xxhash64("norm"))
-    records = cut(keyed.withColumn("uid", uid), "records")
-    old, new = records.where("seq is null"), records.where("seq is not null")
-    old_texts, new_texts = cut(_texts(old), "old"), cut(_texts(new), "new")
-    n = old_texts.count() + new_texts.count()
-    forest = HashForest(spark, forest_path or scratch_path(spark, "forest"), cells_for(spark, n))
-    forest.append(old_texts, "posted")
-    texts = old_texts.union(new_texts).groupBy("uid").agg(F.min("norm").alias("norm"))
-    links = verified(forest.candidates(new_texts, t), texts, t)
-    ways = links.union(links.select("b", "a")).union(new_texts.select("uid", F.col("uid")))
-    q = new.select(F.col("uid").alias("a"), F.col("id").alias("x"), F.col("seq").alias("xs"))
-    r = records.select(F.col("uid").alias("b"), F.col("id").alias("y"), F.col("seq").alias("ys"))
-    before = F.col("ys").isNull() | (F.col("ys") < F.col("xs"))
-    alike = ways.toDF("a", "b").join(q, "a").join(r, "b").where(before)
-    qp = new.where("page is not null").select("page", F.col("id").alias("x"), F.col("seq").alias("xs"))
-    rp = records.where("page is not null").select("page", F.col("id").alias("y"), F.col("seq").alias("ys"))
-    same = qp.join(rp, "page").where(before)
-    found = alike.select("x", "y").union(same.select("x", "y")).where("x <> y")
-    return found.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
-
+    records = cut(keyed.withColumn("uid", F.when(F.col("norm") != "", F.xxhash64("norm"))), "records")
+    where = scratch_path(spark, "rounds")
+    in_rounds(records, round_rows, most_rounds).write.partitionBy("round").parquet(where)
+    stored = spark.read.schema("seq long, id long, page string, norm string, uid long, round int").parquet(where)
+    numbers = sorted(r.round for r in stored.select("round").distinct().collect())  # MOST_ROUNDS and two at most
+    history = History(spark, path or scratch_path(spark, "history"), cells_for(spark, records.where("uid is not null").count()), t)
+    history.add(stored.where("round = -1"), "posted")
+    found = spark.createDataFrame([], "id_a long, id_b long")
+    for k in numbers:
+        if k >= 0:
+            history.add(stored.where(F.col("round") == k), f"round-{k:05}")
+            found = found.union(history.matches(f"round-{k:05}"))
+    return found

@@ -50,19 +50,34 @@ def test_trigram_sets_and_sketches():
         assert int(par[i] ^ par[j]).bit_count() <= len(a ^ b)
 
 
+def listed(cols, t, hot=setjoin.HOT_LIST):
+    """All pairs of a cell, those of chunk pairs included."""
+    pairs, chunks = set(), []
+    for b in setjoin.list_pairs(cols, t, hot):
+        for a, o, blob in zip(*(b.column(k).to_pylist() for k in ("a", "b", "blob"))):
+            if blob is None:
+                pairs.add((a, o))
+            else:
+                chunks.append(blob)
+    for i, x in enumerate(chunks):
+        for y in chunks[i:]:
+            cx, cy = setjoin.unpack([x]), setjoin.unpack([y])
+            if cx["sig"][0] == cy["sig"][0]:
+                for a, o in setjoin._tiles(cx, cy, x == y, t):
+                    pairs |= set(zip(np.minimum(a, o).tolist(), np.maximum(a, o).tolist()))
+    return pairs
+
+
 @pytest.mark.parametrize("t", [Fraction(4, 5), Fraction(22, 25), Fraction(1, 2)])
 def test_index_lists_lose_no_pair(t):
     texts = sorted({x.strip() for x in headlines(400, 3)} - {""})
     uids = np.arange(len(texts), dtype=np.int64) * 3 + 1
     rank = np.random.default_rng(0).permutation(setjoin.BUCKETS)
     cols = setjoin._elements(texts, uids, np.ones(setjoin.BUCKETS), rank, t)
-    blobs = [setjoin.pack(cols)]
-    got = setjoin.list_pairs(blobs, t)
-    pairs = set(zip(got.column("a").to_pylist(), got.column("b").to_pylist()))
+    pairs = listed(cols, t)
     want = {(int(uids[i]), int(uids[j])) for i, j in combinations(range(len(texts)), 2) if similarity(texts[i], texts[j]) >= t}
-    assert want <= pairs
-    hot = setjoin.list_pairs(blobs, t, hot=0)  # every long list as chunk pairs
-    assert len(want) > 20 and hot.num_rows >= got.num_rows - len(pairs)
+    assert len(want) > 20 and want <= pairs
+    assert want <= listed(cols, t, hot=0)  # every long list as chunks
     a, b = (np.array(x, np.int64) for x in zip(*sorted(pairs)))
     leader = np.minimum(a, uids[0] + 30 * (a // 31 // 3))
     leader = uids[np.searchsorted(uids, leader).clip(0, len(uids) - 1)]
@@ -70,15 +85,32 @@ def test_index_lists_lose_no_pair(t):
     assert {p for p, k in zip(sorted(pairs), ok) if k} == want
 
 
-def test_long_lists_go_out_as_chunk_pairs():
+def test_long_lists_go_out_as_chunks():
     n, t = 1500, Fraction(4, 5)
     c = {"sig": np.full(n, 7, np.uint64), "uid": np.arange(n), "par": np.zeros(n, np.uint64), "size": np.full(n, 40), "pos": np.zeros(n)}
-    whole = setjoin.list_pairs([setjoin.pack(c)], t)
-    assert whole.num_rows == n * (n - 1) // 2
-    parts = setjoin.list_pairs([setjoin.pack(c)], t, hot=100)
-    assert parts.num_rows == 1  # one chunk beside itself
-    x, y = setjoin.unpack([parts.column("left")[0].as_py()]), setjoin.unpack([parts.column("right")[0].as_py()])
-    assert sum(len(g[0]) for g in setjoin._tiles(x, y, True, t)) == n * (n - 1) // 2
+    c = setjoin.unpack([setjoin.pack(c)])
+    assert len(listed(c, t)) == n * (n - 1) // 2
+    assert [b.column("blob").null_count for b in setjoin.list_pairs(c, t, hot=100)] == [0]  # one chunk
+    assert len(listed(c, t, hot=100)) == n * (n - 1) // 2
+    halves = [setjoin.pack(c, slice(0, 700)), setjoin.pack(c, slice(700, n))]
+    streamed = [b for b in setjoin.salted_chunks(iter(halves), most=1)]
+    assert sum(b.num_rows for b in streamed) == 2  # nothing is held beyond the bound
+
+
+def test_salted_elements_lose_no_pair(spark, monkeypatch):
+    """A stem that a third of all sets have, beside others, with the element salted and its list cut into small chunks."""
+    for name, value in {"HOT_LIST": 30, "CHUNK": 16, "HOT_SHARE": 20, "SAMPLE": 1}.items():
+        monkeypatch.setattr(setjoin, name, value)
+    r = random.Random(8)
+    stem = "quarterly results of the regional carrier group for the period ending"
+    texts = sorted({f"{stem} {r.randrange(400)}" for _ in range(150)} | {x.strip() for x in headlines(250, 6)} - {""})
+    norms = spark.createDataFrame(list(enumerate(texts)), "uid long, norm string").repartition(3)
+    want = {(i, j) for i, j in combinations(range(len(texts)), 2) if similarity(texts[i], texts[j]) >= Fraction(4, 5)}
+    found = []
+    real = setjoin.salted_elements
+    monkeypatch.setattr(setjoin, "salted_elements", lambda *a: found.append(real(*a)) or found[-1])
+    got = [tuple(x) for x in setjoin.similar_sets(norms, Fraction(4, 5)).collect()]
+    assert len(found[0]) > 0 and len(got) == len(set(got)) and set(got) == want and len(want) > 5000
 
 
 def test_near_duplicates_equal_brute_force(spark):
@@ -164,7 +196,7 @@ def test_depth_is_widened_to_the_target():
     assert history.widened_depth(0.5) < history.widened_depth(0.88)
 
 
-def test_history_equals_brute_force(spark, tmp_path):
+def test_history_equals_brute_force(spark, monkeypatch):
     r = random.Random(9)
     texts = headlines(160, 11)
     page = lambda: r.choice([None, f"https://a.example/{r.randrange(60)}", f"https://A.example/{r.randrange(60)}/?ref=x"])
@@ -184,6 +216,10 @@ def test_history_equals_brute_force(spark, tmp_path):
             want.add((min(x[0], y[0]), max(x[0], y[0])))
     got = [tuple(g) for g in history.earlier_matches(p, q).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
+    monkeypatch.setattr(history, "MERGE_EVERY", 2)
+    monkeypatch.setattr(history, "BLOCK", 7)
+    each = [tuple(g) for g in history.earlier_matches(p, q, round_rows=1).collect()]  # batch by batch, with merges
+    assert len(each) == len(set(each)) and set(each) == want
     assert history.earlier_matches(p.where("false"), q.where("false")).count() == 0
 
 
@@ -193,10 +229,33 @@ def test_runs_merge_to_the_same_answers(spark, tmp_path):
     forest = history.HashForest(spark, str(tmp_path / "f"), 3)
     forest.append(df.where("uid < 40"), "one")
     forest.append(df.where("uid between 40 and 79"), "two")
-    batch = df.where("uid >= 80")
-    before = {tuple(r) for r in forest.candidates(batch, history.THRESHOLD, within=False).collect()}
-    merged = forest.merge(str(tmp_path / "g"))
-    assert {tuple(r) for r in merged.candidates(batch, history.THRESHOLD, within=False).collect()} == before
-    assert {tuple(r) for r in merged.candidates(batch, history.THRESHOLD, within=False, hot=0).collect()} == before
+    forest.append(df.where("uid >= 80"), "batch")
+    before = {tuple(r) for r in forest.candidates("batch", within=False).collect()}
+    forest.merge(["one", "two"], "both")
+    assert {r.run for r in forest.blocks().select("run").distinct().collect()} == {"both", "batch"}
+    assert {tuple(r) for r in forest.candidates("batch", within=False).collect()} == before
     close = {(i, j) for i in range(80) for j in range(80, len(texts)) if similarity(texts[i], texts[j]) >= Fraction(88, 100)}
     assert close <= before
+    inside = {(i, j) for i, j in combinations(range(80, len(texts)), 2) if similarity(texts[i], texts[j]) >= Fraction(88, 100)}
+    assert close | inside <= {tuple(r) for r in forest.candidates("batch").collect()}
+
+
+def test_a_small_batch_reads_a_small_part_of_the_index(spark, tmp_path):
+    texts = sorted({x.strip() for x in headlines(1500, 14)} - {""})
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "uid long, norm string")
+    forest = history.HashForest(spark, str(tmp_path / "f"), 400)
+    forest.append(df, "history")
+    forest.append(spark.createDataFrame([(9001, texts[3] + " s")], "uid long, norm string"), "batch")
+    size = lambda rows: rows.where("run = 'history'").agg(F.sum(F.length("blob"))).first()[0]
+    assert "PartitionFilters: [cell" in forest.touched("batch")._jdf.queryExecution().executedPlan().toString()
+    assert size(forest.touched("batch")) < 0.1 * size(forest.blocks())
+
+
+def test_a_prefix_that_all_share_is_many_small_units(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(history, "BLOCK", 50)
+    n = 600
+    same = {"tree": np.zeros(n, np.uint8), "sig": np.full(n, 5, np.uint64), "uid": np.arange(n), "par": np.zeros(n, np.uint64), "size": np.full(n, 30)}
+    blocks = history._blocks(0, same, history.BLOCK)
+    assert len(blocks) == 12 and max(len(b[3]) for b in blocks) == 50 * history._ROW_BYTES
+    met = {p for i, x in enumerate(blocks) for y in blocks[i:] for p in zip(*history.found_in_blocks(history._unpack([x[3]]), history._unpack([y[3]]), 6, Fraction(88, 100)))}
+    assert len(met) == n * (n - 1) // 2
