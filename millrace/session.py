@@ -112,6 +112,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 _left: set[str] = set()
 
 
+def path_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of the files under a path."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Remove a path of the shared folder; no error if it isn't there."""
     _left.discard(path)
