@@ -4,9 +4,14 @@ For every pair (UTF-8 text, single-byte encoding it was wrongly read as) the gar
 character is computed once and put into one multi-pattern automaton. A text is scanned once; only spans of matches are
 replaced by their originals, so correct text around them stays as it is. Text garbled more than once is restored by
 scanning the result again until nothing matches. Sequences that are ordinary text in their own right count only beside
-further evidence. Letters of further scripts
-count from two in a row on. Text of one single-byte encoding read as another isn't looked for. Replacement characters and C1 controls show wrong decoding too: the latter are restored where the byte
-is printable in Windows-1252, the former can't be.
+further evidence. Letters of further scripts count from two in a row on. Replacement characters and C1 controls show wrong
+decoding too: the latter are restored where the byte is printable in Windows-1252, the former can't be.
+
+Two kinds of pairs have no sequences of their own and are told by whole words, for which tables are computed once:
+text of one single-byte encoding read as another (SINGLE: a word that can't be as it stands, being four or more accented
+letters without a plain one, or Cyrillic with its capitals the wrong way round, and that one pair turns into a word of
+usual shape, as it does all others of the text); and UTF-8 read as a double-byte encoding (DOUBLE: a run of four or more
+characters whose bytes are UTF-8 of one script, or a character between small Latin letters whose bytes are an accented one).
 
 JVM side: values that are plain ASCII can't be garbled and never reach Python. There is no shuffle. The automaton is
 built once in each Python worker (about 100,000 sequences, a fixed size, from a rule).
@@ -146,18 +151,105 @@ def _once(text: str) -> str:
     return "".join(out) + text[at:]
 
 
+#: (encoding of the text, encoding it was read as), in the order in which they are tried.
+SINGLE = [(true, read) for read in ("cp1252", "latin-1") for true in ("cp1251", "koi8-r", "cp1253", "iso8859-5", "cp1255", "cp1256", "cp874")] + [("koi8-r", "cp1251"), ("cp1251", "koi8-r")]
+DOUBLE = ["gbk", "big5", "cp932", "euc_kr"]
+#: Least share of frequent pairs.
+LIKELY = 0.25
+_ACCENTED = "[\u00aa\u00b5\u00ba\u00c0-\u00ffŠŒŽšœžŸƒ]"
+_ALONE = re.compile(rf"(?<![A-Za-z]){_ACCENTED}+(?![A-Za-z])")
+_TURNED = re.compile(r"(?<!\w)[\u0430-\u044f\u0451][\u0410-\u042f\u0401]{3,}(?!\w)")
+_CYRILLIC_WORD = re.compile(r"[\u0400-\u045f]+")
+_WIDE = re.compile(r"[\u00a1-\uffdc]+")
+_IDEOGRAPH = re.compile(r"[\u3400-\u9fff\uac00-\ud7a3\uff61-\uff9f]")
+_BETWEEN = re.compile(r"(?<=[a-z])[\u3400-\u9fff\uac00-\ud7a3\uff61-\uff9f]{1,3}(?=[a-z])")
+#: Letters by script, with the vowels of those that write them all.
+_WORDS = [("[\u0401\u0410-\u044f\u0451]", "аеёиоуыэюя"), ("[\u0386-\u03ce]", "αεηιουωάέήίόύώϊϋΐΰ"), ("[\u05d0-\u05ea]", ""), ("[\u0621-\u064a]", ""), ("[\u0e01-\u0e4e]", "")]
+
+
+@lru_cache(maxsize=1)
+def _single_tables() -> dict[tuple[str, str], dict[int, str]]:
+    """Translation of the upper half for each pair of single-byte encodings."""
+    out = {}
+    for true, read in SINGLE:
+        pairs = [(_read_as(bytes([b]), read), bytes([b])) for b in range(128, 256)]
+        out[true, read] = {ord(c): raw.decode(true) for c, raw in pairs if raw.decode(true, "ignore")}
+    return out
+
+
+def _usual(word: str) -> bool:
+    """Whether a word has the shape of one of its script: usual capitals, some vowels, not more than four consonants on end."""
+    for letters, vowels in _WORDS:
+        if re.fullmatch(f"{letters}+", word):
+            if not vowels:
+                return True
+            low = word.lower()
+            share = sum(c in vowels for c in low) / len(low)
+            return (word.islower() or word[1:].islower()) and 0.2 <= share <= 0.75 and not re.search(f"[^{vowels}]{{5}}", low)
+    return False
+
+
+#: Pairs of letters that are frequent in Russian; half of the pairs in its words are among these.
+_FREQUENT = frozenset("ст но то на ен ов ни ра во ко ро пр по ал ли ре ер ка ет ос де ла те не го ин та ол ел ль ит ть ва ом от ми ри ор ес ас мо ло ан ты ле ат ть ия ие ый ая за да об эт ве ны ак же ем ам".split())
+
+
+def _likely(words: list[str]) -> float:
+    """How much words look like ones of their language: the share of frequent pairs of letters; 0 if any has no usual shape.
+    Scripts without a table of pairs get the least that counts."""
+    if not all(map(_usual, words)):
+        return 0.0
+    if not "а" <= words[0][-1].lower() <= "ё":
+        return LIKELY
+    pairs = [a + b for w in words for a, b in pairwise(w.lower())]
+    return sum(p in _FREQUENT for p in pairs) / len(pairs)
+
+
+def _from_single(text: str) -> str:
+    for words, within, pairs in ((_ALONE, _ALONE, SINGLE[:-2]), (_TURNED, _CYRILLIC_WORD, SINGLE[-2:])):
+        long = [w for w in words.findall(text) if len(w) >= 4]
+        if not long or _run(text, list(_matches(text, further()))):
+            continue
+        tables = [t for t in map(_single_tables().__getitem__, pairs) if all(ord(c) in t for w in long for c in w)]
+        best = max(tables, key=lambda t: _likely([w.translate(t) for w in long]), default=None)
+        if best and _likely([w.translate(best) for w in long]) >= LIKELY:
+            return within.sub(lambda m: m[0].translate(best), text)
+    return text
+
+
+def _of_one_script(text: str) -> bool:
+    kinds = ["[\u00c0-\u024f\u1ea0-\u1ef9A-Za-z]", "[\u0370-\u03ff]", "[\u0400-\u045f]", "[\u05d0-\u05ea]", "[\u0600-\u06ff]", "[\u3000-\u30ff\u4e00-\u9fff\uff01-\uff5e]", "[\uac00-\ud7a3]", "[\u0e01-\u0e5b]"]
+    return any(re.fullmatch(f"{k}+", text) for k in kinds)
+
+
+def _from_double(text: str) -> str:
+    if not _IDEOGRAPH.search(text):
+        return text
+    for encoding in DOUBLE:
+
+        def original(run: str, encoding: str = encoding) -> str | None:
+            try:
+                found = run.encode(encoding).decode("utf-8")
+            except UnicodeError:
+                return None
+            return found if found != run and _of_one_script(found) else None
+
+        long = any(len(w) >= 4 and original(w) for w in _WIDE.findall(text))
+        if long or any((found := original(w)) and all("\xc0" <= c <= "\u024f" for c in found) for w in _BETWEEN.findall(text)):
+            return _WIDE.sub(lambda m: original(m[0]) or m[0], text)
+    return text
+
+
 def restore(text: str) -> tuple[bool, str]:
     """(garbled, text with every restorable span replaced)."""
-    now, garbled = text, "�" in text
-    for _ in range(6):
-        after = _once(now)
-        if after == now:
-            break
+    now = _from_single(text)
+    garbled = now != text or "�" in text
+    while (after := _once(now)) != now:  # each pass makes the text shorter, so this ends
         now, garbled = after, True
     if _C1.search(now):
         garbled = True
         now = _C1.sub(lambda m: _read_as(m[0].encode("latin-1"), "cp1252"), now)
-    return garbled, now
+    after = _from_double(now)
+    return garbled or after != now, after
 
 
 _RESULT = StructType([StructField("garbled", StringType()), StructField("restored", StringType())])
