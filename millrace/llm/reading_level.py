@@ -2,8 +2,8 @@
 
 Running prose is taken from the text: code, tables, links and titles (lines that don't end like a sentence) are left
 out. From its words, sentences and syllables come classic grade estimates that weigh both sentence length and word
-difficulty; syllables are counted by hyphenation-style rules (vowel groups with silent endings and split vowels). A
-document's grade is the median of the estimates, and two thresholds on it, fitted to editors' labels, give the level. The fit uses at most FIT_ROWS labelled
+difficulty; syllables are counted by hyphenation-style patterns (syllables). A sentence that is wrapped over several lines
+is put together first. A document's grade is the median of the estimates, and two thresholds on it, fitted to editors' labels, give the level. The fit uses at most FIT_ROWS labelled
 documents (by hash of their id), a documented bound; everything else covers all rows.
 
 Python is needed for the text rules; texts cross once, in Arrow batches, and nothing is shuffled but the labels.
@@ -27,12 +27,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType
 
+from millrace.llm.syllables import syllables
 from millrace.session import cut
 
 FIT_ROWS = 20_000
 DEFAULT_THRESHOLDS = (7.5, 14.8)
 
-_TAG = re.compile(r"<[^<>\n]{1,200}>")
+#: Least length of a line that may be wrapped.
+WRAPPED = 40
+_TAG = re.compile(r"<[/!A-Za-z][^<>\n]*>")
 _LINK = re.compile(r"(?:https?://|www\.)\S+")
 _CODE_MARK = re.compile(r"[{}|\t\\=<>;]|\w\(|::|->|\w_\w|^(?:#|//|\$ |>>> |@|\* )")
 _LINE_END = re.compile(r"[.!?…][\"'”’»)\]]*$")
@@ -43,11 +46,29 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _ABBREVIATIONS = frozenset("e.g i.e approx etc vs cf dr mr mrs ms no st fig vol inc ltd co corp dept est prof jr sr".split())
 
 
+def _joined(lines: list[str]) -> list[str]:
+    """Lines with wrapped ones put together: a line that doesn't end like a sentence, neither short nor with a mark of code,
+    goes on in the next one if that begins with a small letter and has none either."""
+    out: list[str] = []
+    for line in lines:
+        bare = line.strip()
+        before = out[-1] if out else ""
+        if bare[:1].islower() and len(before) >= WRAPPED and not _LINE_END.search(before, max(0, len(before) - 8)) and not _like_code(bare) and not _like_code(before):
+            out[-1] = f"{before} {bare}"
+        else:
+            out.append(bare)
+    return out
+
+
+def _like_code(line: str) -> bool:
+    return _has_mark(line) and _CODE_MARK.search(line) is not None and not _reads_as_prose(line)
+
+
 def prose(text: str) -> list[str]:
     """The lines of running prose."""
     kept = []
     fenced = False
-    for line in text.split("\n"):
+    for line in _joined(text.split("\n")):
         bare = line.strip()
         if bare.startswith("```"):
             fenced = not fenced
@@ -58,7 +79,7 @@ def prose(text: str) -> list[str]:
             bare = _TAG.sub(" ", bare).strip()
         if ":/" in bare or "www." in bare:
             bare = _LINK.sub(" ", bare).strip()
-        if _LINE_END.search(bare, max(0, len(bare) - 8)) and not (_has_mark(bare) and _CODE_MARK.search(bare) and not _reads_as_prose(bare)):
+        if _LINE_END.search(bare, max(0, len(bare) - 8)) and not _like_code(bare):
             kept.append(bare)
     return kept
 
@@ -74,21 +95,6 @@ def _reads_as_prose(line: str) -> bool:
     return len(words) >= 5 and sum(map(len, words)) >= 0.7 * len(line)
 
 
-_SILENT = re.compile(r"(?<![aeiouy])(?<!l)e$|(?<=[aeiouy]l)e$|(?<=[^aeiouydt])ed$|(?<=[^aeiouycgsxz])(?<!ch)(?<!sh)(?<![^aeiouy]l)es$")
-_INNER_SILENT = re.compile(r"[^aeiouy]e(?=(?:ly|ments?|ful|less|ness)$)")
-_SPLIT = re.compile(r"(?<![tscgx])i[ao]|iu|(?<![qg])ua|uou|eo|^crea|[aeiouy]ing(?=$|s$)|(?<=[^aeiouy])ism(?=$|s$)")
-
-
-@lru_cache(maxsize=200_000)
-def syllables(word: str) -> int:
-    """Vowel groups, less silent endings, more where two vowels are spoken apart."""
-    w = re.sub(r"[^a-z]", "", word.lower())
-    if len(w) <= 3:
-        return 1
-    n = len(re.findall(r"[aeiouy]+", w)) + len(_SPLIT.findall(w))
-    return max(1, n - bool(_SILENT.search(w)) - len(_INNER_SILENT.findall(w)))
-
-
 @lru_cache(maxsize=200_000)
 def _token(token: str) -> tuple[int, int, int, int, int, int]:
     """What a token between blanks adds: (ends a sentence, words, syllables, long words, letters, words over 6 letters)."""

@@ -9,7 +9,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.llm.syllables import syllables
 from millrace.llm import contributor_cap, garbled, mixing, reading_level, tokenizer, top_per_group
+from tests.llm.syllable_words import WORDS
 
 from millrace.operators import ranges
 
@@ -161,9 +163,59 @@ def test_mixture_keeps_shares_and_caps(spark):
     assert mixing.mixture(df.where("false"), targets).count() == 0 and mixing.mixture(df, targets.where("false")).count() == 0
 
 
-@pytest.mark.parametrize("word,n", [("cat", 1), ("table", 2), ("reading", 2), ("jumped", 1), ("wanted", 2), ("created", 3), ("infrastructure", 4), ("software", 2), ("generalization", 6), ("boxes", 2), ("the", 1), ("language", 2)])
-def test_syllables(word, n):
-    assert abs(reading_level.syllables(word) - n) <= (word == "software")  # a compound with a silent letter inside
+@pytest.mark.parametrize("true,read", [(t, r) for t, r in garbled.SINGLE if t not in ("cp1255", "cp874", "iso8859-5")])
+def test_single_byte_text_read_as_another(true, read):
+    texts = ["Привет, это новости о моделях", "Новости: GPU стали дешевле на 5%", "Ελληνικά νέα για τη μηχανή", "مرحبا بالعالم الجديد"]
+    tried = 0
+    for text in texts:
+        try:
+            wrong = text.encode(true).decode(read)
+        except UnicodeError:
+            continue
+        if wrong != text:
+            tried += 1
+            assert garbled.restore(wrong) == (True, text)
+    assert tried
+
+
+@pytest.mark.parametrize("encoding", ["gbk", "cp932", "euc_kr"])
+def test_utf8_read_as_a_double_byte_encoding(encoding):
+    texts = ["Привет, это новости о моделях!", "Zwölf große Bären à Paris", "Tôi yêu tiếng Việt", "日本語のニュース記事です", "שלום עולם חדשות", "Ελληνικά νέα για τη μηχανή"]
+    tried = 0
+    for text in texts:
+        try:
+            wrong = text.encode().decode(encoding)
+        except UnicodeError:
+            continue
+        tried += 1
+        assert garbled.restore(wrong) == (True, text)
+    assert tried
+
+
+@pytest.mark.parametrize("text", ["Привет, это новости о моделях", "중문 뉴스 제목입니다", "中文新闻标题联通公司发布新产品", "日本語のﾆｭｰｽ記事です", "iPhone手机 wifi没电了", "ÀÉÈ ÀÉÈ", "Ça et là, à Paris", "НАСА и ЕС", "Ελληνικά νέα", "שלום עולם", "مرحبا بالعالم"])
+def test_correct_text_of_other_scripts(text):
+    assert garbled.restore(text) == (False, text)
+
+
+def test_text_garbled_many_times():
+    text = wrong = "Ünïcödé café"
+    for _ in range(9):
+        wrong = wrong.encode().decode("latin-1")
+    assert garbled.restore(wrong) == (True, text)
+
+
+def test_syllables():
+    wrong = [(w, n, syllables(w)) for n, words in WORDS.items() for w in words.split() if syllables(w) != n]
+    assert not wrong and sum(len(w.split()) for w in WORDS.values()) > 350
+    assert [syllables(w) for w in ("state-of-the-art", "x", "--", "naïve", "éclair", "software's")] == [4, 1, 1, 2, 2, 2]
+
+
+def test_wrapped_sentences_are_whole():
+    wrapped = "The team that made the first version of the tool\nwent on to write a second one, which was\nlater sold.\n\nA title that is long enough to be taken for a line\nThe next line is a sentence."
+    assert reading_level.prose(wrapped) == ["The team that made the first version of the tool went on to write a second one, which was later sold.", "The next line is a sentence."]
+    assert reading_level.statistics(wrapped)[0] == 2
+    long_tag = f"<a href='{'x' * 900}'>The cat sat.</a> The dog ran."
+    assert reading_level.statistics(long_tag)[1] == 6
 
 
 def test_prose_only():
