@@ -17,8 +17,7 @@ The query takes batches in their order and puts neighbouring small ones together
 at most; each round goes through the runs of all before it.
 
 Scale: a signature takes about 30 bytes on disk once. A lookup joins the batch's blocks with those of its cells: a small
-batch is broadcast by Spark's own size check, so the runs aren't shuffled; a large one is shuffled with its cells only. A
-unit of work is a pair of blocks of at most BLOCK signatures, so a cell that very many texts share is many small units,
+batch, by its size on disk, is broadcast, so the runs aren't shuffled; a large one is shuffled with its cells only. A unit of work is a pair of blocks of at most BLOCK signatures, so a cell that very many texts share is many small units,
 which AQE splits; no task holds a cell.
 
 Defined results: a null title has an empty headline, which is similar to none; a null link falls back to the canonical
@@ -44,7 +43,7 @@ from millrace.llm.formatting_duplicates import page
 from millrace.llm.setjoin import near, ordered_pairs, verified
 from millrace.llm.tokensets import mix, parity_sketch, rows_of, trigram_sets
 from millrace.operators.ranges import running_total
-from millrace.session import cut, remove, scratch_path, shuffle_width
+from millrace.session import cut, path_bytes, remove, scratch_path, shuffle_width
 
 THRESHOLD = Fraction(88, 100)
 TREES, LEVELS, RECALL = 16, 8, 0.9999
@@ -52,6 +51,8 @@ TREES, LEVELS, RECALL = 16, 8, 0.9999
 BLOCK, SORTED = 1 << 14, 1 << 19
 CELL_BYTES = 4 << 20
 ROUND_ROWS, MOST_ROUNDS, MERGE_EVERY = 20_000, 16, 4
+#: Most bytes of a batch's blocks that are sent to all executors; measured before each lookup.
+SENT_BYTES = 32 << 20
 #: Texts whose signatures a task holds before it hands them on.
 HELD = 1 << 15
 _COLUMNS = (("tree", "u1"), ("sig", "<u8"), ("uid", "<i8"), ("par", "<u8"), ("size", "<u4"))
@@ -222,6 +223,9 @@ class HashForest:
         q = self.blocks().where(F.col("run") == run).select("cell", from_("lo").alias("q_lo"), to("hi").alias("q_hi"), F.col("lo").alias("q_at"), F.col("blob").alias("q"))
         e = self.touched(run).where(F.lit(within) | (F.col("run") != run)).withColumnRenamed("blob", "e")
         once = (F.col("run") != run) | (F.col("q_at") <= F.col("lo"))  # two blocks of the run meet once
+        # a small batch goes to where the index lies; a large one meets its cells by a shuffle
+        if path_bytes(self.spark, f"{self.path}/run={run}") <= SENT_BYTES:
+            q = F.broadcast(q)
         met = q.join(e, "cell").where((F.col("q_lo") <= F.col("hi")) & (F.col("lo") <= F.col("q_hi")) & once)
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
