@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MARKERS = r"^[\s\-•*·–—]+"
+from millrace.lexicon import BULLET_MARKERS
+
 
 
 def without_fences(text: Column) -> Column:
@@ -15,7 +16,7 @@ def without_fences(text: Column) -> Column:
 
 def clean_bullets(items: Column, most: int = 3, chars: int = 220) -> Column:
     """Items without leading markers; blank ones dropped, long ones cut with an ellipsis, at most *most*."""
-    bare = F.transform(items, lambda x: F.trim(F.regexp_replace(x, MARKERS, "")))
+    bare = F.transform(items, lambda x: F.trim(F.regexp_replace(x, BULLET_MARKERS, "")))
     kept = F.filter(bare, lambda x: x.isNotNull() & (x != ""))
     return F.slice(F.transform(kept, lambda x: F.when(F.length(x) > chars, F.concat(F.left(x, F.lit(chars - 1)), F.lit("…"))).otherwise(x)), 1, most)
 

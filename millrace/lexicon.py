@@ -75,6 +75,17 @@ LAB_POINTS, ENGINEERING_POINTS, DEPTH_POINTS, DEPTH_CHARS = 30, 20, 10, 500
 AGGREGATOR, AGGREGATOR_POINTS = "Hacker News", 25
 BLOCK_POINTS, PATH_POINTS = 1000, 30
 RECENCY_POINTS, RECENCY_HOURS, FRESH_HOURS = 100, 48, 30
+#: A count of years in a headline.
+YEARS = r"\b\d+\s+years?\b"
+#: What a failed image delivery says when it may be repeated as text.
+IMAGE_TROUBLE = [
+    "wrong file identifier", "wrong remote file identifier", "wrong remote photo url", "webpage_curl_failed",
+    "photo_invalid_dimensions", "image_process_failed", "wrong type of the web page content",
+    "failed to get http url content", "wrong url", "wrong url host", "url host is empty", "photo url", "media_invalid",
+    "file is too big", "file_part_invalid", "wrong padding in the string", "caption is too long",
+]
+#: What a list item may begin with.
+BULLET_MARKERS = r"^[\s\-•*·–—]+"
 NAMED_ENTITIES = {
     "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "hellip": "…", "mdash": "—", "ndash": "–",
     "rsquo": "’", "lsquo": "‘", "rdquo": "”", "ldquo": "“",

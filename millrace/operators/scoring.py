@@ -20,7 +20,7 @@ def capped(count: Column, points: tuple[int, int]) -> Column:
 
 def word_scores(title: Column, snippet: Column) -> dict[str, Column]:
     text = F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(snippet, F.lit("")))
-    years = F.lower(text).rlike(r"\b\d+\s+years?\b").cast("int")
+    years = F.lower(text).rlike(lexicon.YEARS).cast("int")
     return {
         "boost": capped(hits(text, lexicon.BOOST_WORDS), lexicon.BOOST_POINTS),
         "penalty": capped(hits(text, lexicon.PENALTY_WORDS), lexicon.PENALTY_POINTS),

@@ -40,7 +40,8 @@ def round_robin(rows: DataFrame, category: str, order: list[Column], categories:
 
 def running_cap(rows: DataFrame, key: str, order: list[Column], cap: int, already: DataFrame | None = None) -> DataFrame:
     """Rows, in order, as long as their key has fewer than *cap*, those counted in already (key, n) included."""
-    ranked = rows.withColumn("_rn", F.row_number().over(W.partitionBy(key).orderBy(*order)))
+    # cut to the cap by itself first: Spark does that before the shuffle, so a hot key sends at most *cap* rows a partition
+    ranked = capped_per_source(rows, key, order, cap, keep="_rn")
     if already is not None:
         ranked = ranked.join(already.select(key, F.col("n").alias("_n")), key, "left")
     else:
@@ -80,6 +81,23 @@ def retry_order(rows: DataFrame, eligible: Column, order: list[Column]) -> DataF
     return running_total(one, [F.col("_e").desc(), *order], "_one", "_at").withColumn("attempt", F.col("_at") + 1).drop("_one", "_e", "_at")
 
 
-def capped_per_source(rows: DataFrame, source: str, order: list[Column], cap: int = 25) -> DataFrame:
-    """The first *cap* rows of each source; Spark cuts every partition to *cap* rows a source before the shuffle."""
-    return rows.withColumn("_rn", F.row_number().over(W.partitionBy(source).orderBy(*order))).where(F.col("_rn") <= cap).drop("_rn")
+def capped_per_source(rows: DataFrame, source: str, order: list[Column], cap: int = 25, keep: str | None = None) -> DataFrame:
+    """The first *cap* rows of each source; Spark cuts every partition to *cap* rows a source before the shuffle. With
+    *keep* the rank stays, under that name."""
+    ranked = rows.withColumn("_rn", F.row_number().over(W.partitionBy(source).orderBy(*order))).where(F.col("_rn") <= cap)
+    return ranked.withColumnRenamed("_rn", keep) if keep else ranked.drop("_rn")
+
+
+def split_pool(rows: DataFrame, order: list[Column], first: int) -> tuple[DataFrame, DataFrame]:
+    """(the first rows in order, all others): those to be placed and the pool that stands in for what fails."""
+    return rows.orderBy(*order).limit(first), rows.orderBy(*order).offset(first)
+
+
+def prepended(new: Column, kept: Column, most: int) -> Column:
+    """A list with *new* in front, cut to *most* items; a null list is empty."""
+    return F.slice(F.array_prepend(F.coalesce(kept, F.array()), new), 1, most)
+
+
+def earliest_slot(queue: DataFrame, hour: int, slot: str = "slot") -> DataFrame:
+    """The earliest row of the queue whose slot lies in that UTC hour of a day."""
+    return queue.where(F.hour(slot) == hour).orderBy(slot).limit(1)

@@ -284,7 +284,7 @@ _WORDS = {
     "boost": _sql_points(lexicon.BOOST_WORDS, lexicon.BOOST_POINTS),
     "penalty": _sql_points(lexicon.PENALTY_WORDS, lexicon.PENALTY_POINTS),
     "verbs": _sql_points(lexicon.NEWS_VERBS, lexicon.VERB_POINTS),
-    "fluff": _sql_points(lexicon.FLUFF_WORDS, lexicon.FLUFF_POINTS, rf" + CAST(regexp_matches(lower({_TEXT}), '\b\d+\s+years?\b') AS INTEGER)"),
+    "fluff": _sql_points(lexicon.FLUFF_WORDS, lexicon.FLUFF_POINTS, rf" + CAST(regexp_matches(lower({_TEXT}), '{lexicon.YEARS}') AS INTEGER)"),
 }
 
 
@@ -343,8 +343,8 @@ def top_articles(spark: SparkSession, d: str) -> DataFrame:
     FROM events WHERE isfinite(value) GROUP BY 1""",
 )
 def percentiles(spark: SparkSession, d: str) -> DataFrame:
-    cuts = [F.round(statistics.exact_percentile(F.col("value"), p), 6).alias(f"p{round(p * 100)}") for p in (0.25, 0.4, 0.6)]
-    return table(spark, d, "events").where(statistics.is_finite(F.col("value"))).groupBy("event_type").agg(*cuts)
+    found = statistics.percentiles_by(table(spark, d, "events"), "event_type", "value", {"p25": 0.25, "p40": 0.4, "p60": 0.6})
+    return found.select("event_type", *[F.round(p, 6).alias(p) for p in ("p25", "p40", "p60")])
 
 
 @query(
@@ -353,7 +353,7 @@ def percentiles(spark: SparkSession, d: str) -> DataFrame:
     FROM articles GROUP BY 1""",
 )
 def adaptive_threshold(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "articles").groupBy("category").agg(statistics.adaptive_threshold(F.col("score")).cast("int").alias("threshold"))
+    return statistics.adaptive_thresholds(table(spark, d, "articles"), "category", "score").select("category", F.col("threshold").cast("int"))
 
 
 _USAGE = "SELECT strftime(fetched_at AT TIME ZONE 'UTC', '%Y-%m-%d') AS day, category, CAST(count(*) AS BIGINT) AS n FROM articles GROUP BY 1, 2"

@@ -10,11 +10,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.lexicon import IMAGE_TROUBLE
+
 TEXT_LIMIT, CAPTION_LIMIT = 4096, 1024
 ATTEMPTS = 4
 #: What a sender returns: (HTTP status, seconds the other side asks to wait or None, description).
 Reply = tuple[int, float | None, str]
-IMAGE_TROUBLE = ["failed to get http url content", "wrong file identifier", "wrong type of the web page content", "image_process_failed", "photo_invalid_dimensions"]
 
 
 def retry_wait(attempt: int, asked: float | None, jitter: float) -> float:
@@ -61,6 +62,40 @@ def deliver(rows: DataFrame, key: str, send: Callable[[dict], Reply], attempts:
     return rows.mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, status int, attempts int, description string")
 
 
+def deliver_posts(rows: DataFrame, key: str, image: str, send_image: Callable[[dict], Reply], send_text: Callable[[dict], Reply], attempts: int = ATTEMPTS, parallel: int | None = None) -> DataFrame:
+    """(key, sent_as, status, attempts, description): rows with an image go out with it, all others as text; a row whose
+    image was refused for the image's sake goes out as text after all. Other failures aren't repeated as text, since the post
+    may have arrived."""
+    if parallel:
+        rows = rows.repartition(parallel)
+
+    def one(row: dict) -> tuple:
+        made = 0
+        if row[image]:
+            status, made, said = send_with_retry(send_image, row, attempts)
+            if status != 400 or not any(w in (said or "").lower() for w in IMAGE_TROUBLE):
+                return row[key], "image", status, made, said
+        status, more, said = send_with_retry(send_text, row, attempts)
+        return row[key], "text", status, made + more, said
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b = b.astype(object).where(b.notna(), None)
+            yield pd.DataFrame([one(r) for r in b.to_dict("records")], columns=[key, "sent_as", "status", "attempts", "description"])
+
+    return rows.mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, sent_as string, status int, attempts int, description string")
+
+
+def alert(text: str, target: str | None, send: Callable[[dict], Reply], attempts: int = ATTEMPTS, sleep: Callable[[float], None] = time.sleep) -> bool:
+    """Whether an alert was sent: without a target nothing is done, and a failure is an outcome, never an error."""
+    if not (target or "").strip():
+        return False
+    try:
+        return 200 <= send_with_retry(send, {"target": target.strip(), "text": text}, attempts, sleep)[0] < 300
+    except Exception:  # an alert must not stop what it tells about
+        return False
+
+
 def run_writes(writes: list[tuple[str, Callable[[], None]]]) -> list[tuple[str, bool, str]]:
     """(name, ok, error) of each write; one that fails doesn't keep the others from being tried."""
     out = []

@@ -42,9 +42,14 @@ def picked_link(links: Column) -> Column:
 
 
 def picked_date(item: Column, zone: Column, order: Column) -> Column:
-    """UTC instant of the first field that has one; the epoch where none has, so that undated items are the oldest."""
-    fields = [item["pubDate"], item["published"], item["updated"], item["dc:date"]]
-    return F.timestamp_millis(F.coalesce(*[instant_ms(f, zone, order) for f in fields], F.lit(0).cast("long")))
+    """UTC instant of the first field that isn't blank; the epoch where it has none, so that undated items are the oldest."""
+    text = F.coalesce(*[F.nullif(trim_white(item[k]), F.lit("")) for k in ("pubDate", "published", "updated", "dc:date")])
+    return F.timestamp_millis(F.coalesce(instant_ms(text, zone, order), F.lit(0).cast("long")))
+
+
+def node_text(value: Column) -> Column:
+    """Text of an element that was read as a string: of nested elements the texts only, one after the other."""
+    return F.regexp_replace(value, r"</?[A-Za-z][^<>]*>", "")
 
 
 def picked_image(item: Column) -> Column:
@@ -66,7 +71,7 @@ def parse_feeds(feeds: DataFrame, most: int = ITEMS_A_FEED) -> DataFrame:
     rows = parsed.select("name", "category", "priority", "feed_tz", "date_order", F.posexplode(F.slice(items, 1, most)).alias("position", "i"))
     i = F.col("i")
     read = rows.select(
-        trim_white(decoded(i["title"])).alias("title"), picked_link(i["link"]).alias("link"), picked_date(i, F.coalesce("feed_tz", F.lit("UTC")), F.col("date_order")).alias("pub_ts"),
+        trim_white(decoded(node_text(i["title"]))).alias("title"), picked_link(i["link"]).alias("link"), picked_date(i, F.coalesce("feed_tz", F.lit("UTC")), F.col("date_order")).alias("pub_ts"),
         F.col("name").alias("source"), "category", "priority", picked_snippet(i).alias("snippet"), picked_image(i).alias("image_url"), "position",
     )
     return read.where("title <> '' and link <> ''").withColumn("canonical_url", canonical_url(F.col("link")))
@@ -98,7 +103,7 @@ class _FeedReader(DataSourceReader):
 
     def read(self, partition: _Source) -> Iterator[tuple]:
         try:
-            ask = urllib.request.Request(partition.url, headers={"Accept": "application/rss+xml, application/atom+xml, application/xml;q=0.9, */*;q=0.5"})
+            ask = urllib.request.Request(partition.url, headers={"Accept": "text/xml, */*"})
             with urllib.request.urlopen(ask, timeout=self.timeout) as r:
                 text = r.read().decode(r.headers.get_content_charset() or "utf-8", "replace")
         except Exception:  # whatever went wrong, the feed is empty

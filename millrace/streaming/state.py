@@ -4,6 +4,7 @@ sinks. State lives in the state store; every query takes a checkpoint location,
 from __future__ import annotations
 
 import sys
+import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -14,33 +15,46 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from millrace.operators.state import latest
+from millrace.session import remove
+
 # The worker that sets a stateful processor up has only the JVM's path, so processors travel by value.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def use_rocksdb(spark) -> None:
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-
-
 @contextmanager
-def no_idle_batches(spark):
-    """For finite runs of queries whose state expires by the clock: these have a batch due at any time and would not end."""
-    name = "spark.sql.streaming.noDataMicroBatches.enabled"
+def _setting(spark, name: str, value: str):
     before = spark.conf.get(name)
-    spark.conf.set(name, "false")
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         spark.conf.set(name, before)
 
 
+def rocksdb(spark):
+    """Queries started within it keep their state in RocksDB, which stateful processors need."""
+    return _setting(spark, "spark.sql.streaming.stateStore.providerClass", ROCKS)
+
+
+def no_idle_batches(spark):
+    """For finite runs of queries whose state expires by the clock: these have a batch due at any time and would not end."""
+    return _setting(spark, "spark.sql.streaming.noDataMicroBatches.enabled", "false")
+
+
 def first_seen(stream: DataFrame, key: str, at: str, ttl: str = "30 days") -> DataFrame:
     """Rows whose key wasn't seen within *ttl* of event time."""
     return stream.withWatermark(at, ttl).dropDuplicatesWithinWatermark([key])
 
 
+def first_seen_again(stream: DataFrame, key: str, at: str, ttl_s: int) -> DataFrame:
+    """(key, at): rows whose key was let through no more than *ttl_s* of event time ago don't pass, as with a key that is
+    stored when it passes and expires; unlike :func:`first_seen` it is exact within a batch too."""
+    return throttled(stream, key, at, ttl_s)
+
+
 def tumbling_counts(stream: DataFrame, at: str, keys: list[str], width: str = "1 hour", late: str = "30 hours") -> DataFrame:
     """(slot, keys, n) of full windows; rows later than *late* are dropped."""
     counted = stream.withWatermark(at, late).groupBy(F.window(at, width), *keys).agg(F.count("*").alias("n"))
@@ -65,9 +79,10 @@ class FailureCounter(StatefulProcessor):
         pass
 
 
-def failure_counts(stream: DataFrame, key: str, ttl_ms: int = 86_400_000) -> DataFrame:
+def failure_counts(stream: DataFrame, key: str, ttl_ms: int = 86_400_000, mode: str = "Update") -> DataFrame:
+    """(key, n) whenever a count changes. In mode "Append" the counts of each batch are rows of their own."""
     kind = stream.schema[key].dataType.simpleString()
-    return stream.groupBy(key).transformWithStateInPandas(FailureCounter(key, ttl_ms), f"{key} {kind}, n long", "Update", "processingTime")
+    return stream.groupBy(key).transformWithStateInPandas(FailureCounter(key, ttl_ms), f"{key} {kind}, n long", mode, "processingTime")
 
 
 class Throttle(StatefulProcessor):
@@ -139,28 +154,64 @@ def append_once(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def claim_and_deliver(stream: DataFrame, key: str, path: str, checkpoint: str, send: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
-    """Claim before the side effect, commit after it. A batch first writes its claims (keys not committed by an earlier
-    epoch), then delivers, then writes outcomes (key, ok). A repeated batch delivers only what has no outcome yet; a row
-    that failed has no commit, so its key may be claimed again."""
+#: Log folders that are read one by one before they are folded into the base.
+FOLD_AFTER = 20
+
+
+def claim_and_deliver(stream: DataFrame, key: str, path: str, checkpoint: str, send: Callable[[DataFrame], DataFrame], ttl_s: int = 900) -> StreamingQuery:
+    """Claim before the side effect, confirm after it. A batch writes its claims to a log under *path*, delivers what it
+    claimed, and writes the outcomes (key, ok) that *send* returns. Not claimed is what was delivered, and what has an open
+    claim: a run that died while sending may have delivered it, so it isn't sent again before the claim is *ttl_s* old. What
+    failed may be claimed again. The state of a key is its last log row; the log is folded into one row a key now and then, so
+    a batch reads the base and at most FOLD_AFTER folders."""
 
     def run(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        done = _outcomes(spark, f"{path}/outcomes", key, batch)
-        todo = batch.dropDuplicates([key]).join(done.where("ok").select(key).distinct(), key, "left_anti")
-        todo.write.mode("overwrite").parquet(f"{path}/claims/epoch={epoch}")
-        claimed = spark.read.parquet(f"{path}/claims/epoch={epoch}")
-        send(claimed).select(key, "ok").write.mode("overwrite").parquet(f"{path}/outcomes/epoch={epoch}")
+        last = claim_states(spark, path, key, batch)
+        free = last.where((F.col("state") == "failed") | (F.col("state") == "claimed") & (F.col("at") < F.current_timestamp() - F.make_dt_interval(secs=F.lit(ttl_s))))
+        held = last.join(free.select(key), key, "left_anti")
+        name = f"{path}/log/{epoch:012}-{uuid.uuid4().hex[:8]}"
+        todo = batch.dropDuplicates([key]).join(held.select(key), key, "left_anti").withColumn("state", F.lit("claimed")).withColumn("at", F.current_timestamp())
+        todo.write.parquet(f"{name}-a")
+        claimed = spark.read.parquet(f"{name}-a").drop("state", "at")
+        outcomes = send(claimed).select(key, F.when(F.col("ok"), "done").otherwise("failed").alias("state"), F.current_timestamp().alias("at"))
+        outcomes.write.parquet(f"{name}-b")
+        _fold(spark, path, key, batch)
 
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _outcomes(spark, path: str, key: str, like: DataFrame) -> DataFrame:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    schema = f"{key} {like.schema[key].dataType.simpleString()}, ok boolean"
-    if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-        return spark.read.schema(schema).parquet(f"{path}/epoch=*")
-    return spark.createDataFrame([], schema)
+def _folders(spark, path: str) -> list[str]:
+    """The log's folders, the newest base first, then what came after it; unfinished ones are passed over."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/log")
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(hadoop):
+        return []
+    names = sorted(s.getPath().getName() for s in fs.listStatus(hadoop) if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
+    bases = [n for n in names if n.endswith("-base")]
+    # a base is named after the last folder in it
+    return [*bases[-1:], *[n for n in names if not n.endswith("-base") and (not bases or n > bases[-1].removesuffix("-base") + "~")]]
+
+
+def claim_states(spark, path: str, key: str, like: DataFrame) -> DataFrame:
+    """(key, state, at): the last row of each key in the log; state is claimed, done or failed."""
+    schema = f"{key} {like.schema[key].dataType.simpleString()}, state string, at timestamp"
+    folders = _folders(spark, path)
+    if not folders:
+        return spark.createDataFrame([], schema)
+    order = F.create_map(*[x for i, f in enumerate(folders) for x in (F.lit(f), F.lit(i))])
+    log = spark.read.schema(schema).parquet(*[f"{path}/log/{f}" for f in folders]).withColumn("n", order[F.regexp_extract("_metadata.file_path", r"/log/([^/]+)/", 1)])
+    return latest(log, [key], ["n", "at"]).select(key, "state", "at")
+
+
+def _fold(spark, path: str, key: str, like: DataFrame) -> None:
+    folders = _folders(spark, path)
+    if len(folders) <= FOLD_AFTER:
+        return
+    base = f"{path}/log/{folders[-1]}-base"
+    claim_states(spark, path, key, like).write.mode("overwrite").parquet(base)
+    for f in folders:
+        remove(spark, f"{path}/log/{f}")
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
