@@ -12,7 +12,7 @@ from millrace import lexicon
 from millrace.functions import html, summary, text, times, url
 from millrace.operators import dedup, filters, scoring, selection, state, statistics
 from millrace.operators.timestamps import normalize_feed_times, normalize_posted_times
-from millrace.plans.view import NOW_MS, VIEW, article_view, now, sql_hits, sql_list, sql_norm, sql_trigrams
+from millrace.plans.view import FEED_TIMES, NOW_MS, POSTED_TIMES, POSTED_VIEW, VIEW, article_view, now, sql_hits, sql_list, sql_norm, sql_trigrams
 from millrace.sources.tables import table
 from millrace.streaming import queries as streams
 
@@ -36,7 +36,7 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("p7_found")
+@query("p7_found", f"SELECT id AS record_id, CAST(ms AS BIGINT) AS utc_ms FROM (SELECT * FROM {FEED_TIMES} UNION ALL SELECT * FROM {POSTED_TIMES}) WHERE ms IS NOT NULL")
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     feeds = normalize_feed_times(table(spark, d, "articles"), table(spark, d, "rss_sources"))
     return feeds.unionByName(normalize_posted_times(table(spark, d, "posted_history")))
