@@ -75,6 +75,8 @@ LAB_POINTS, ENGINEERING_POINTS, DEPTH_POINTS, DEPTH_CHARS = 30, 20, 10, 500
 AGGREGATOR, AGGREGATOR_POINTS = "Hacker News", 25
 BLOCK_POINTS, PATH_POINTS = 1000, 30
 RECENCY_POINTS, RECENCY_HOURS, FRESH_HOURS = 100, 48, 30
+#: Path segments of pages that tell of changes only: in any place, and in the first place on a host.
+PATH_SEGMENTS, FIRST_SEGMENTS = ["release-notes"], {"vercel.com": "changelog"}
 #: A count of years in a headline.
 YEARS = r"\b\d+\s+years?\b"
 #: What a failed image delivery says when it may be repeated as text.

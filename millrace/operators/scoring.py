@@ -46,11 +46,14 @@ def is_blocked(host: Column, blocked: list[str] = lexicon.BLOCKED_DOMAINS) -> Co
     return suffix_match(host, [(d, 1) for d in blocked]) == 1
 
 
-def path_points(url: Column, points: int = lexicon.PATH_POINTS) -> Column:
-    """Points against pages of a changelog or of release notes, by whole path segments."""
+def path_points(url: Column, points: int = lexicon.PATH_POINTS, anywhere: list[str] = lexicon.PATH_SEGMENTS, first: dict[str, str] = lexicon.FIRST_SEGMENTS) -> Column:
+    """Points against pages with one of the path segments of *anywhere*, or with the first segment that *first* names for
+    their host or a domain above it."""
     def points_of(host: Column, segments: Column) -> Column:
-        changelog = ((host == "vercel.com") | host.endswith(".vercel.com")) & (F.coalesce(F.get(segments, F.lit(0)), F.lit("")) == "changelog")
-        return F.when(changelog | F.array_contains(segments, "release-notes"), points).otherwise(0)
+        hit = F.arrays_overlap(segments, F.array(*map(F.lit, anywhere)))
+        for domain_, segment in first.items():
+            hit = hit | ((host == domain_) | host.endswith("." + domain_)) & (F.coalesce(F.get(segments, F.lit(0)), F.lit("")) == segment)
+        return F.when(hit, points).otherwise(0)
 
     return let(domain(url), lambda host: let(path_segments(url), lambda segments: points_of(host, segments)))
 

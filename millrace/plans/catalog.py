@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,31 +9,17 @@ from pyspark.sql import functions as F
 from millrace import lexicon
 from millrace.functions import html, summary, text, times, url
 from millrace.operators import dedup, filters, scoring, selection, state, statistics
-from millrace.operators.timestamps import normalize_feed_times, normalize_posted_times
+from millrace.operators.timestamps import instant_ms, is_canonical, normalize_feed_times, normalize_posted_times
+from millrace.plans import pipeline
 from millrace.plans.view import FEED_TIMES, NOW_MS, POSTED_TIMES, POSTED_VIEW, VIEW, article_view, now, sql_hits, sql_list, sql_norm, sql_trigrams
+from millrace.plans.registry import ORACLES, query
 from millrace.sources.tables import table
-from millrace.streaming import queries as streams
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
 #: Lists that hit the invented corpus; the defaults are covered by unit tests.
 CORPUS_PATHS, CORPUS_TITLES = ["/p/", "/fishing/", "/tax/"], ["merger", "outage", "payroll"]
 CORPUS_TRUST = [("papertrail.example", 20), ("export.papertrail.example", 25), ("sparrowsys.example", 15), ("orbitledger.example", 10)]
 
 
-def query(name: str, sql: str | None = None):
-    """Register a query under *name*, with its SQL equivalent if there is one."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return add
-
-
 @query("p7_found", f"SELECT id AS record_id, CAST(ms AS BIGINT) AS utc_ms FROM (SELECT * FROM {FEED_TIMES} UNION ALL SELECT * FROM {POSTED_TIMES}) WHERE ms IS NOT NULL")
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     feeds = normalize_feed_times(table(spark, d, "articles"), table(spark, d, "rss_sources"))
@@ -43,8 +27,10 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------------------------- URL and text
-_CANONICAL = rf"""
-  WITH s AS (SELECT article_id, regexp_replace(trim(link, E' \t\n\r'), '[\t\n\r]', '', 'g') AS s FROM articles),
+def sql_canonical(rows: str) -> str:
+    """SQL of (id, url): the canonical form of each row of *rows*, a query of (id, u)."""
+    return rf"""(
+  WITH s AS (SELECT id AS article_id, regexp_replace(trim(u, E' \t\n\r'), '[\t\n\r]', '', 'g') AS s FROM ({rows}) r),
   p AS (SELECT article_id, s, lower(split_part(s, ':', 1)) AS scheme, lower(split_part(s, '/', 3)) AS host,
     split_part(split_part(s, '#', 1), '?', 1) AS main,
     CASE WHEN contains(split_part(s, '#', 1), '?') THEN substring(split_part(s, '#', 1), strpos(split_part(s, '#', 1), '?') + 1) ELSE '' END AS q FROM s),
@@ -55,8 +41,12 @@ _CANONICAL = rf"""
       AND NOT list_contains({sql_list(url.TRACKING_PARAMS)}, lower(split_part(x, '=', 1)))),
       lambda x, i: {{'k': split_part(x, '=', 1), 'i': i, 'p': CASE WHEN contains(x, '=') THEN x ELSE x || '=' END}})) AS keep FROM p)
   SELECT article_id, CASE WHEN s IS NULL OR NOT contains(s, '://') THEN s ELSE scheme || '://' || host || CASE WHEN path = '' THEN '/' ELSE path END
-    || CASE WHEN len(keep) = 0 THEN '' ELSE '?' || array_to_string(list_transform(keep, lambda x: x.p), '&') END END AS url FROM c
-"""
+    || CASE WHEN len(keep) = 0 THEN '' ELSE '?' || array_to_string(list_transform(keep, lambda x: x.p), '&') END END AS url FROM c)"""
+
+
+_CANONICAL = f"SELECT article_id, url FROM {sql_canonical('SELECT article_id AS id, link AS u FROM articles')}"
+_POSTED_PAGE = sql_canonical("SELECT entry_id AS id, url AS u FROM posted_history")
+_ARTICLE_PAGE = sql_canonical("SELECT article_id AS id, COALESCE(canonical_url, link) AS u FROM articles")
 
 
 @query("url_canonical", _CANONICAL)
@@ -107,10 +97,17 @@ def path_sections(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy(first.alias("section")).agg(F.count("*").alias("n"))
 
 
-@query("path_penalty", "SELECT article_id, CAST(0 AS INTEGER) AS points FROM articles WHERE contains(canonical_url, '/release-notes/') IS NOT NULL")
+_SEGMENTS = rf"list_filter(string_split(lower(regexp_extract({_BARE}, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1)), '/'), lambda x: x <> '')"
+
+
+@query(
+    "path_penalty",
+    f"""SELECT article_id, CAST(CASE WHEN list_contains(seg, 'fishing') OR ((host = 'papertrail.example' OR host LIKE '%.papertrail.example') AND seg[1] = 'tax') THEN 30 ELSE 0 END AS INTEGER) AS points
+    FROM (SELECT article_id, {_SEGMENTS} AS seg, {_HOST} AS host FROM articles WHERE canonical_url IS NOT NULL)""",
+)
 def path_penalty(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "articles").where("canonical_url is not null")
-    return rows.select("article_id", scoring.path_points(F.col("canonical_url")).alias("points"))
+    return rows.select("article_id", scoring.path_points(F.col("canonical_url"), anywhere=["fishing"], first={"papertrail.example": "tax"}).alias("points"))
 
 
 _NORM = sql_norm("COALESCE(title, '')", text.STOP_WORDS)
@@ -164,11 +161,6 @@ def html_escaped(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "articles").select("article_id", html.escaped(F.col("title"), attribute=True).alias("title"))
 
 
-@query("title_budget_40")
-def title_budget_40(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "articles").where("title is not null").select("article_id", html.cut_to_budget(F.col("title"), 40).alias("title"))
-
-
 @query("props_json", "SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1")
 def props_json(spark: SparkSession, d: str) -> DataFrame:
     k = F.try_variant_get(F.try_parse_json("props"), "$.k", "long")
@@ -200,11 +192,6 @@ def title_blacklist(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "articles").where(~filters.contains_any(F.col("title"), CORPUS_TITLES)).select("article_id")
 
 
-@query("separate_hits")
-def separate_hits(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "articles").select("article_id", filters.separate_hits(F.col("title"), lexicon.PAPER_WORDS).alias("hits")).where("hits >= 2")
-
-
 @query("required_fields", "SELECT article_id FROM articles WHERE title <> '' AND link <> ''")
 def required_fields(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "articles").where(filters.has_required(F.col("title"), F.col("link"))).select("article_id")
@@ -212,11 +199,13 @@ def required_fields(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "unposted_by_url",
-    "SELECT article_id FROM articles a WHERE NOT EXISTS (SELECT 1 FROM posted_history p WHERE p.canonical_url = a.canonical_url)",
+    f"SELECT article_id FROM {_ARTICLE_PAGE} a WHERE NOT EXISTS (SELECT 1 FROM {_POSTED_PAGE} p WHERE p.url = a.url)",
 )
 def unposted_by_url(spark: SparkSession, d: str) -> DataFrame:
-    posted = table(spark, d, "posted_history")
-    return dedup.not_seen(table(spark, d, "articles"), posted, "canonical_url").select("article_id")
+    """Articles whose page, canonical on both sides, wasn't posted."""
+    posted = table(spark, d, "posted_history").select(url.canonical_url(F.col("url")).alias("page"))
+    rows = table(spark, d, "articles").select("article_id", url.canonical_url(F.coalesce("canonical_url", "link")).alias("page"))
+    return dedup.not_seen(rows, posted, "page").select("article_id")
 
 
 @query(
@@ -320,11 +309,12 @@ def score_breakdown(spark: SparkSession, d: str) -> DataFrame:
     "top_articles",
     _SCORED + f""" SELECT article_id, title, total FROM scored JOIN articles USING (article_id, title)
     WHERE {NOW_MS} - pub_ms <= 2592000000 AND title <> '' AND link <> '' AND COALESCE({sql_hits('link', CORPUS_PATHS)}, 0) = 0
-    AND COALESCE({sql_hits('title', CORPUS_TITLES)}, 0) = 0 AND NOT EXISTS (SELECT 1 FROM posted_history p WHERE p.canonical_url = articles.canonical_url)
+    AND COALESCE({sql_hits('title', CORPUS_TITLES)}, 0) = 0 AND article_id IN (SELECT article_id FROM {_ARTICLE_PAGE} WHERE url NOT IN (SELECT url FROM {_POSTED_PAGE} WHERE url IS NOT NULL))
+    AND ({_NORM} = '' OR {_NORM} NOT IN (SELECT {_NORM} FROM posted_history))
     ORDER BY total DESC, article_id LIMIT 10""",
 )
 def top_articles(spark: SparkSession, d: str) -> DataFrame:
-    """The flagship: filter, score, take off what was posted, and list the ten best."""
+    """The flagship: filter, take off what was posted (by page or headline), score, and list the ten best."""
     view = article_view(spark, d).withColumn("pub_ts", F.timestamp_millis(F.unix_millis("pub_ts")))
     kept = view.where(
         filters.is_fresh(F.col("pub_ts"), now(), hours=30 * 24)
@@ -332,8 +322,22 @@ def top_articles(spark: SparkSession, d: str) -> DataFrame:
         & ~filters.contains_any(F.col("link"), CORPUS_PATHS)
         & ~filters.contains_any(F.col("title"), CORPUS_TITLES)
     )
-    unposted = dedup.not_seen(kept, table(spark, d, "posted_history"), "canonical_url")
-    return scoring.scored(unposted, now(), CORPUS_TRUST).orderBy(F.desc("total"), "article_id").limit(10).select("article_id", "title", "total")
+    nothing = spark.createDataFrame([], "link string, canonical_url string"), spark.createDataFrame([], "page string, n long")
+    new = pipeline.unknown(kept, table(spark, d, "posted_history").select("url", "title"), *nothing)
+    return scoring.scored(new, now(), CORPUS_TRUST).orderBy(F.desc("total"), "article_id").limit(10).select("article_id", "title", "total")
+
+
+@query("top_today")
+def top_today(spark: SparkSession, d: str) -> DataFrame:
+    """The whole run without its effects: on-topic rows of the last 30 days, one an event, neither posted nor queued nor
+    failed too often, like none of the 200 newest headlines nor of the queued titles; the ten best with their parts."""
+    recent = table(spark, d, "recent_titles").where("norm <> '' and raw is not null").select("norm", "raw", (-F.col("title_id")).alias("pos"))
+    batch = table(spark, d, "incoming_articles")
+    queued = batch.orderBy(F.col("score").desc_nulls_last(), "article_id").limit(36).select("link", "canonical_url", "title")  # a queue of two days
+    failures = batch.where("title is null").groupBy(url.canonical_url(F.coalesce("canonical_url", "link")).alias("page")).agg(F.count("*").alias("n"))
+    s = pipeline.Settings(now=now(), hours=30 * 24, paths=CORPUS_PATHS, titles=CORPUS_TITLES, trust=CORPUS_TRUST)
+    found = pipeline.candidates(article_view(spark, d), table(spark, d, "posted_history").select("url", "title"), queued, failures, recent, s)
+    return found.select("article_id", "title", "source", "category", "total", "low", scoring.explain_parts(F.col("parts")).alias("why"))
 
 
 # ------------------------------------------------------------------------------------------------- aggregates
@@ -571,11 +575,15 @@ def check_top_orders(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "last_posted",
-    "SELECT tz, arg_max(entry_id, (length(posted_at), posted_at, entry_id)) AS entry_id FROM posted_history WHERE posted_at IS NOT NULL GROUP BY 1",
+    f"WITH {POSTED_VIEW} SELECT tz, arg_max(entry_id, (posted_ms, entry_id)) AS entry_id, CAST(max(posted_ms) AS BIGINT) AS posted_ms FROM posted WHERE posted_ms IS NOT NULL GROUP BY 1",
 )
 def last_posted(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "posted_history").where("posted_at is not null").withColumn("n", F.length("posted_at"))
-    return state.latest(rows.select("tz", "entry_id", "posted_at", "n"), ["tz"], ["n", "posted_at", "entry_id"]).select("tz", "entry_id")
+    """The last entry of each writer's zone, by the instant that its text stands for."""
+    text = F.col("posted_at")
+    stated = F.when(is_canonical(text), F.unix_millis(F.try_to_timestamp(text)))
+    at = F.coalesce(stated, instant_ms(F.when(~is_canonical(text), text), F.col("tz"), F.lit("dmy")))
+    rows = table(spark, d, "posted_history").select("tz", "entry_id", at.alias("posted_ms")).where("posted_ms is not null")
+    return state.latest(rows, ["tz"], ["posted_ms", "entry_id"]).select("tz", "entry_id", "posted_ms")
 
 
 @query(
@@ -597,8 +605,3 @@ def queue_listing(spark: SparkSession, d: str) -> DataFrame:
 def source_status(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "articles").where("score > 320").select("source")
     return statistics.outcome_summary(statistics.source_health(table(spark, d, "rss_sources"), rows))
-
-
-# -------------------------------------------------------------------------------------------------- streaming
-query("stream_first_seen", "SELECT DISTINCT user_id FROM events")(streams.stream_first_seen)
-query("stream_throttled", ORACLES["throttled_alerts"])(streams.stream_throttled)
