@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace import lexicon
 from millrace.functions.bind import let
 from millrace.functions.url import domain, path_segments
-from millrace.operators.filters import hits
+from millrace.operators.filters import list_hits
 
 PARTS = ["source", "recency", "boost", "penalty", "verbs", "fluff", "lab", "engineering", "depth", "aggregator", "trust", "block", "path"]
 NEGATIVE = {"penalty", "fluff", "aggregator", "block", "path"}
@@ -18,15 +18,21 @@ def capped(count: Column, points: tuple[int, int]) -> Column:
     return F.least(count * points[0], F.lit(points[1]))
 
 
-def word_scores(title: Column, snippet: Column) -> dict[str, Column]:
-    text = F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(snippet, F.lit("")))
-    years = F.lower(text).rlike(lexicon.YEARS).cast("int")
-    return {
-        "boost": capped(hits(text, lexicon.BOOST_WORDS), lexicon.BOOST_POINTS),
-        "penalty": capped(hits(text, lexicon.PENALTY_WORDS), lexicon.PENALTY_POINTS),
-        "verbs": capped(hits(text, lexicon.NEWS_VERBS), lexicon.VERB_POINTS),
-        "fluff": capped(hits(text, lexicon.FLUFF_WORDS) + years, lexicon.FLUFF_POINTS),
+WORD_LISTS = {"boost": lexicon.BOOST_WORDS, "penalty": lexicon.PENALTY_WORDS, "verbs": lexicon.NEWS_VERBS, "fluff": lexicon.FLUFF_WORDS}
+
+
+def with_word_scores(rows: DataFrame, name: str = "words") -> DataFrame:
+    """*rows* (title, snippet) with a struct of the points that the word lists give, from one pass over the text."""
+    text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("snippet", F.lit("")))
+    counted = rows.withColumn("_text", text).withColumn("_hits", list_hits(F.col("_text"), WORD_LISTS))
+    years = F.lower("_text").rlike(lexicon.YEARS).cast("int")
+    points = {
+        "boost": capped(F.col("_hits.boost"), lexicon.BOOST_POINTS),
+        "penalty": capped(F.col("_hits.penalty"), lexicon.PENALTY_POINTS),
+        "verbs": capped(F.col("_hits.verbs"), lexicon.VERB_POINTS),
+        "fluff": capped(F.col("_hits.fluff") + years, lexicon.FLUFF_POINTS),
     }
+    return counted.withColumn(name, F.struct(*[c.cast("int").alias(k) for k, c in points.items()])).drop("_text", "_hits")
 
 
 def recency(published: Column, now: Column, points: int = lexicon.RECENCY_POINTS, hours: int = lexicon.RECENCY_HOURS) -> Column:
@@ -46,7 +52,7 @@ def is_blocked(host: Column, blocked: list[str] = lexicon.BLOCKED_DOMAINS) -> Co
     return suffix_match(host, [(d, 1) for d in blocked]) == 1
 
 
-def path_points(url: Column, points: int = lexicon.PATH_POINTS, anywhere: list[str] = lexicon.PATH_SEGMENTS, first: dict[str, str] = lexicon.FIRST_SEGMENTS) -> Column:
+def path_points(url: Column, points: int = lexicon.PATH_POINTS, anywhere: list[str] = lexicon.PATH_SEGMENTS, first: dict[str, str] = lexicon.FIRST_SEGMENTS, host: Column | None = None) -> Column:
     """Points against pages with one of the path segments of *anywhere*, or with the first segment that *first* names for
     their host or a domain above it."""
     def points_of(host: Column, segments: Column) -> Column:
@@ -55,13 +61,13 @@ def path_points(url: Column, points: int = lexicon.PATH_POINTS, anywhere: list[s
             hit = hit | ((host == domain_) | host.endswith("." + domain_)) & (F.coalesce(F.get(segments, F.lit(0)), F.lit("")) == segment)
         return F.when(hit, points).otherwise(0)
 
-    return let(domain(url), lambda host: let(path_segments(url), lambda segments: points_of(host, segments)))
+    return let(domain(url) if host is None else host, lambda h: let(path_segments(url), lambda segments: points_of(h, segments)))
 
 
 def score_parts(now: Column, trust: list[tuple[str, int]] = lexicon.DOMAIN_TRUST) -> dict[str, Column]:
-    """Columns of each part over an article view (title, snippet, source, priority, link, canonical_url, pub_ts)."""
-    url = F.coalesce(F.when(F.col("canonical_url") != "", F.col("canonical_url")), F.col("link"))
-    host = domain(url)
+    """Columns of each part over an article view (title, snippet, source, priority, link, canonical_url, pub_ts) with
+    ``_url``, ``_host`` and ``_words``."""
+    url, host = F.col("_url"), F.col("_host")
     snippet = F.coalesce("snippet", F.lit(""))
     utf16 = F.octet_length(F.encode(snippet, "UTF-16BE")) / 2
     weight = F.lit(0)
@@ -70,22 +76,24 @@ def score_parts(now: Column, trust: list[tuple[str, int]] = lexicon.DOMAIN_TRUST
     return {
         "source": weight,
         "recency": recency(F.col("pub_ts"), now),
-        **word_scores(F.col("title"), snippet),
+        **{k: F.col(f"_words.{k}") for k in WORD_LISTS},
         "lab": F.when(F.col("source").isin(lexicon.LAB_SOURCES), lexicon.LAB_POINTS).otherwise(0),
         "engineering": F.when(F.col("source").isin(lexicon.ENGINEERING_SOURCES), lexicon.ENGINEERING_POINTS).otherwise(0),
         "depth": F.when(utf16 >= lexicon.DEPTH_CHARS, lexicon.DEPTH_POINTS).otherwise(0),
         "aggregator": F.when(F.col("source") == lexicon.AGGREGATOR, lexicon.AGGREGATOR_POINTS).otherwise(0),
         "trust": suffix_match(host, trust),
         "block": F.when(is_blocked(host), lexicon.BLOCK_POINTS).otherwise(0),
-        "path": path_points(url),
+        "path": path_points(url, host=host),
     }
 
 
 def scored(view: DataFrame, now: Column, trust: list[tuple[str, int]] = lexicon.DOMAIN_TRUST) -> DataFrame:
     """The view with ``parts`` (a struct of the 13 parts) and ``total``."""
-    rows = view.withColumn("parts", F.struct(*[c.cast("int").alias(k) for k, c in score_parts(now, trust).items()]))
+    url = F.coalesce(F.when(F.col("canonical_url") != "", F.col("canonical_url")), F.col("link"))
+    rows = with_word_scores(view.withColumn("_url", url).withColumn("_host", domain(F.col("_url"))), "_words")
+    rows = rows.withColumn("parts", F.struct(*[c.cast("int").alias(k) for k, c in score_parts(now, trust).items()]))
     total = sum((-F.col(f"parts.{k}") if k in NEGATIVE else F.col(f"parts.{k}") for k in PARTS), F.lit(0))
-    return rows.withColumn("total", total)
+    return rows.withColumn("total", total).drop("_url", "_host", "_words")
 
 
 def explain_parts(parts: Column) -> Column:

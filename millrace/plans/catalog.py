@@ -279,8 +279,7 @@ _WORDS = {
 
 @query("word_scores", "SELECT article_id, " + ", ".join(f"{v} AS {k}" for k, v in _WORDS.items()) + " FROM articles")
 def word_scores(spark: SparkSession, d: str) -> DataFrame:
-    parts = scoring.word_scores(F.col("title"), F.col("snippet"))
-    return table(spark, d, "articles").select("article_id", *[c.cast("int").alias(k) for k, c in parts.items()])
+    return scoring.with_word_scores(table(spark, d, "articles")).select("article_id", "words.*")
 
 
 _AGE = f"(greatest({NOW_MS} - pub_ms, 0) / 3600000.0::DOUBLE)"

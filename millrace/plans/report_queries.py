@@ -222,11 +222,11 @@ def queue_report(spark: SparkSession, d: str) -> DataFrame:
     return reports.numbered(catalog.queue_listing(spark, d), [F.col("slot")]).select("pos", "slot", "article_id", "age_min")
 
 
-@query("slot_of_hour", f"SELECT slot, article_id FROM ({ORACLES['queue_listing']}) WHERE CAST(right(slot, 2) AS INTEGER) = (14 - 7 + 24) % 24 ORDER BY slot LIMIT 1")
+@query("slot_of_hour", f"SELECT slot, article_id FROM ({ORACLES['queue_listing']}) WHERE CAST(right(slot, 2) AS INTEGER) = (16 - 7 + 24) % 24 ORDER BY slot LIMIT 1")
 def slot_of_hour(spark: SparkSession, d: str) -> DataFrame:
-    """The earliest slot of the queue at 14 h of a zone seven hours ahead."""
+    """The earliest slot of the queue at 16 h of a zone seven hours ahead."""
     queue = catalog.queue_listing(spark, d).withColumn("at", F.to_timestamp(F.substr("slot", F.lit(7)), "yyyy-MM-dd'T'HH"))
-    return selection.earliest_slot(queue, (14 - 7 + 24) % 24, "at").select("slot", "article_id")
+    return selection.earliest_slot(queue, (16 - 7 + 24) % 24, "at").select("slot", "article_id")
 
 
 _USAGE_ITEMS = f"""WITH u AS ({ORACLES['usage_by_day']}), q AS (SELECT unnest({sql_list(list(lexicon.DAILY_QUOTA))}) AS category, unnest({list(lexicon.DAILY_QUOTA.values())}) AS quota, unnest(range(0, {len(lexicon.DAILY_QUOTA)})) AS i)
