@@ -269,7 +269,7 @@ class History:
 
     def matches(self, run: str) -> DataFrame:
         """(id_a, id_b), id_a < id_b: a record of *run* and one before it with the same page or a similar headline."""
-        pairs = cut(self.forest.candidates(run), "pairs")
+        pairs = cut(self.forest.candidates(run), "met")
         asked = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
         shard = F.pmod("key", F.lit(self.shards)).cast("int")
         texts = self.headlines().join(asked.withColumn("shard", shard), ["shard", "key"], "left_semi").groupBy(F.col("key").alias("uid")).agg(F.min("norm").alias("norm"))
@@ -331,6 +331,7 @@ def earlier_matches(posted: DataFrame, incoming: DataFrame, t: Fraction = THRESH
     stored = spark.read.schema("seq long, id long, page string, norm string, uid long, round int").parquet(where)
     numbers = sorted(r.round for r in stored.select("round").distinct().collect())  # MOST_ROUNDS and two at most
     history = History(spark, path or scratch_path(spark, "history"), cells_for(spark, records.where("uid is not null").count()), t)
+    remove(spark, records._millrace_path)
     history.add(stored.where("round = -1"), "posted")
     found = spark.createDataFrame([], "id_a long, id_b long")
     for k in numbers:

@@ -285,7 +285,9 @@ def spread(met: DataFrame, t: Fraction) -> DataFrame:
         left = both.join(chunks.select(F.col("id").alias("i"), F.col("blob").alias("left")), "i")
         tile = left.join(chunks.select(F.col("id").alias("j"), F.col("blob").alias("right")), "j").select("left", "right")
         pairs = pairs.union(tile.repartition(shuffle_width(met.sparkSession) * 4).mapInArrow(tiles, "a long, b long"))
-    return pairs.distinct()
+    found = pairs.distinct()
+    found._millrace_from = [met]
+    return found
 
 
 def salted_elements(norms: DataFrame, elements: Callable[[pa.RecordBatch], dict[str, np.ndarray]], n: int) -> np.ndarray:
@@ -418,13 +420,13 @@ def answers(uids: np.ndarray, texts: list[str], leader: np.ndarray, a: np.ndarra
 
 def verified(pairs: DataFrame, norms: DataFrame, t: Fraction) -> DataFrame:
     """The pairs (a, b) whose texts have similarity >= t, exactly."""
-    pairs = cut(pairs, "pairs")
+    pairs = cut(pairs, "pairs", drop=getattr(pairs, "_millrace_from", ()))
     n = pairs.count()
     cells = max(1, min(shuffle_width(pairs.sparkSession) if n > 5_000 else 1, ceil(n / 5_000)), ceil(n / 100_000))
     lead = pairs.groupBy(F.col("b").alias("uid")).agg(F.min("a").alias("l"))
     routed = pairs.join(lead, pairs["a"] == lead["uid"], "left").select(F.coalesce("l", "a").alias("l"), "a", "b")
     # a range split keeps a leader's pairs together, yet divides a leader with very many
-    routed = cut(routed.repartitionByRange(cells, "l", "a", "b").withColumn("cell", F.spark_partition_id()), "routed")
+    routed = cut(routed.repartitionByRange(cells, "l", "a", "b").withColumn("cell", F.spark_partition_id()), "routed", drop=[pairs])
     asked = routed.select("cell", F.explode(F.array("l", "a", "b")).alias("uid")).distinct()
     members = asked.join(norms, "uid").select("cell", F.col("uid").alias("l"), F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"), "norm")
     rows = members.unionByName(routed.select("cell", "l", "a", "b", F.lit(None).cast("string").alias("norm")))

@@ -160,6 +160,10 @@ def test_mixture_keeps_shares_and_caps(spark):
     assert {x.doc_id: x.uses for x in mixing.mixture(df.repartition(5), targets, slots=2000).collect()} == uses
     report = {x.source: x for x in mixing.shares(mixing.mixture(df, targets, slots=2000), targets).collect()}
     assert report["gone"].tokens == 0 and abs(sum(x.share for x in report.values()) - 1) < 1e-9
+    half = mixing.mixture(df, targets, slots=2000, total=total // 2)
+    assert abs(half.agg(F.sum(F.col("uses") * F.col("n_tokens"))).first()[0] - total // 2) < 0.03 * total
+    short = {x.source: x.short for x in mixing.shares(half, targets, total).collect()}
+    assert short["gone"] == -(-total // 10) and short["a"] > 0.2 * total
     assert mixing.mixture(df.where("false"), targets).count() == 0 and mixing.mixture(df, targets.where("false")).count() == 0
 
 
