@@ -7,10 +7,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace import lexicon
+from millrace import enrich, lexicon
 from millrace.functions.text import normalized_headline
 from millrace.functions.url import canonical_url
 from millrace.operators import dedup, filters, scoring, selection, statistics
+from millrace.session import cut
 
 
 @dataclass
@@ -92,6 +93,31 @@ def choice(found: DataFrame, usage: DataFrame, s: Settings) -> DataFrame:
     return selection.best_in_open_bucket(found, room, "category", [F.desc("total"), F.col("article_id")])
 
 
+def refill_run(found: DataFrame, slots: DataFrame, taken: DataFrame, queued_by_source: DataFrame, chain: list[tuple[str, enrich.Provider]], per_source: int = 2, template: str = "{content}") -> tuple[DataFrame, DataFrame]:
+    """(filled, metrics) of a whole refill. Open slots get the candidates in turn; each is summarised by the chain; the slots
+    whose candidate failed get those that stand in, once. A slot that is taken stays as it is, so a repeated run fills only
+    what is open. found: (article_id, category, source, total, title, snippet); filled: (slot, article_id, provider, answer,
+    round); metrics: (open, filled, failed), one row."""
+    order = [F.desc("total"), F.col("article_id")]
+    turns = selection.round_robin(found.select("article_id", "category", "source", "total"), "category", order, lexicon.CATEGORIES)
+    capped = cut(selection.running_cap(turns, "source", [F.col("pos")], per_source, queued_by_source).select("article_id", "pos"), "refill")
+    free = cut(slots.join(taken.select("slot").distinct(), "slot", "left_anti"), "slots")
+    first, spare = selection.split_pool(capped, [F.col("pos")], free.count())
+
+    def summarised(placed: DataFrame, number: int) -> DataFrame:
+        texts = placed.join(found.select("article_id", "title", "snippet"), "article_id")
+        said = enrich.summarize(texts, "article_id", chain, template)
+        # written at once, so that no provider is asked twice for a row
+        return cut(placed.join(said, "article_id").select("slot", "article_id", "provider", "answer", F.lit(number).alias("round")), "answers")
+
+    one = summarised(selection.zip_by_rank(first, free, [F.col("pos")], [F.col("slot")], 500).select("slot", "article_id"), 1)
+    left = free.join(one.where("provider is not null").select("slot"), "slot", "left_anti").join(one.select("slot"), "slot", "left_semi")
+    two = summarised(selection.zip_by_rank(left, spare, [F.col("slot")], [F.col("pos")], 500).select("slot", "article_id"), 2)
+    filled = one.unionByName(two).where("provider is not null")
+    counts = filled.agg(F.count("*").alias("filled")).join(free.agg(F.count("*").alias("open")))  # one row each
+    return filled, counts.select("open", "filled", (F.col("open") - F.col("filled")).alias("failed"))
+
+
 def refill(found: DataFrame, slots: DataFrame, taken: DataFrame, queued_by_source: DataFrame, per_source: int = 2) -> DataFrame:
     """(rank, slot, article_id): open slots filled from the candidates, interleaved by category, capped by source."""
     turns = selection.round_robin(found.select("article_id", "category", "source", "total"), "category", [F.desc("total"), F.col("article_id")], lexicon.CATEGORIES)

@@ -9,7 +9,7 @@ from millrace import lexicon
 from millrace.functions import captions, html, summary, times, url
 from millrace.operators import filters, reports, selection, state, statistics
 from millrace.operators.timestamps import normalize_feed_times
-from millrace.plans import catalog
+from millrace.plans import catalog, pipeline
 from millrace.plans.registry import ORACLES, query
 from millrace.plans.view import NOW_MS, now, sql_instants, sql_list
 from millrace.session import scratch_path
@@ -268,6 +268,41 @@ def skipped_slots(spark: SparkSession, d: str) -> DataFrame:
     return slots.groupBy(times.day_key(F.col("slot")).alias("day")).agg(F.count_if(F.coalesce("best", F.lit(0)) < 270).alias("skipped"))
 
 
+def _odd_titles_fail(text: str) -> tuple[int, str]:
+    """A provider that answers texts of an even length only."""
+    return (200, "{}") if len(text) % 2 == 0 else (422, "")
+
+
+def _refill(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    slots = catalog.next_slots(spark, d).select(F.col("slot_ms").alias("slot"))
+    taken = slots.where("(slot div 3600000) % 5 = 0")
+    found = table(spark, d, "articles").select("article_id", "category", "source", F.col("score").alias("total"), "title", "snippet").where("source is not null and title is not null and total is not null")
+    nothing = spark.createDataFrame([], "source string, n int")
+    return pipeline.refill_run(found, slots, taken, nothing, [("even", _odd_titles_fail)], template="{title}")
+
+
+_REFILL = f"""WITH a AS (SELECT article_id, source, category, score, title FROM articles WHERE source IS NOT NULL AND title IS NOT NULL AND score IS NOT NULL),
+    t AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY score DESC, article_id) AS turn, COALESCE(list_position({sql_list(lexicon.CATEGORIES)}, category), 6) AS o FROM a),
+    p AS (SELECT *, row_number() OVER (ORDER BY turn, o, COALESCE(category, '')) AS pos FROM t),
+    c AS (SELECT *, row_number() OVER (ORDER BY pos) AS r FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY pos) AS k FROM p) WHERE k <= 2),
+    s AS (SELECT slot_ms AS slot, row_number() OVER (ORDER BY slot_ms) AS r FROM ({ORACLES['next_slots']}) WHERE (slot_ms // 3600000) % 5 <> 0),
+    one AS (SELECT slot, article_id, length(title) % 2 = 0 AS ok FROM c JOIN s USING (r)),
+    left_ AS (SELECT slot, row_number() OVER (ORDER BY slot) AS r FROM one WHERE NOT ok),
+    two AS (SELECT l.slot, article_id, length(title) % 2 = 0 AS ok FROM left_ l JOIN c ON c.r = l.r + (SELECT count(*) FROM s)),
+    done AS (SELECT slot, article_id, 1 AS round FROM one WHERE ok UNION ALL SELECT slot, article_id, 2 FROM two WHERE ok)"""
+
+
+@query("refill_run", _REFILL + " SELECT CAST(slot AS BIGINT) AS slot_ms, article_id, round FROM done")
+def refill_run(spark: SparkSession, d: str) -> DataFrame:
+    """A refill from end to end: slots that are open, candidates in turn, summaries, a second round for what failed."""
+    return _refill(spark, d)[0].select(F.col("slot").alias("slot_ms"), "article_id", "round")
+
+
+@query("refill_metrics", _REFILL + " SELECT CAST((SELECT count(*) FROM s) AS BIGINT) AS open, CAST(count(*) AS BIGINT) AS filled, CAST((SELECT count(*) FROM s) - count(*) AS BIGINT) AS failed FROM done")
+def refill_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return _refill(spark, d)[1]
+
+
 # ----------------------------------------------------------------------------------------------------- alerts
 @query("streak_alerts", f"SELECT * FROM ({ORACLES['failure_streaks']}) WHERE streak >= 1")
 def streak_alerts(spark: SparkSession, d: str) -> DataFrame:
