@@ -27,7 +27,7 @@ def _distinct_ignoring_case(items: Column) -> Column:
 
 def clean_tags(items: Column, most: int = 8, chars: int = 30) -> Column:
     """Tags of letters, digits and underscores only, without mark and blanks, each once whatever its case."""
-    bare = F.transform(items, lambda x: F.regexp_replace(F.regexp_replace(F.trim(x), "^#+", ""), r"\s+", ""))
+    bare = F.transform(items, lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"(?U)^\s+|\s+$", ""), "^#+", ""), r"(?U)\s+", ""))
     good = F.filter(bare, lambda x: x.isNotNull() & (F.length(x) <= chars) & x.rlike("^[A-Za-z0-9_]+$"))
     return F.slice(_distinct_ignoring_case(good), 1, most)
 

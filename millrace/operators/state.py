@@ -24,6 +24,20 @@ def live(log: DataFrame, key: list[str], version: list[str], now: Column, expire
     return rows.where(~F.coalesce(deleted, F.lit(False))) if deleted else rows
 
 
+def put(rows: DataFrame, path: str, now: Column, seconds: int | None = None) -> None:
+    """Append rows to the log under *path* as values written *now* that expire after *seconds*; nothing is rewritten."""
+    _append(with_expiry(rows, now, seconds).withColumn("deleted", F.lit(False)), path, now)
+
+
+def delete(keys: DataFrame, path: str, now: Column) -> None:
+    """Append tombstones for the keys."""
+    _append(with_expiry(keys, now, None).withColumn("deleted", F.lit(True)), path, now)
+
+
+def _append(rows: DataFrame, path: str, now: Column) -> None:
+    rows.withColumn("written_ts", now.cast("timestamp")).write.mode("append").parquet(path)
+
+
 def with_expiry(rows: DataFrame, now: Column, seconds: int | None) -> DataFrame:
     """Rows with ``expires_ts``; no seconds, no expiry."""
     at = F.timestamp_micros(F.unix_micros(now.cast("timestamp")) + seconds * 1_000_000) if seconds is not None else F.lit(None).cast("timestamp")

@@ -110,15 +110,15 @@ def path_penalty(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("article_id", scoring.path_points(F.col("canonical_url"), anywhere=["fishing"], first={"papertrail.example": "tax"}).alias("points"))
 
 
-_NORM = sql_norm("COALESCE(title, '')", text.STOP_WORDS)
+SQL_NORM = sql_norm("COALESCE(title, '')", text.STOP_WORDS)
 
 
-@query("title_normalized", f"SELECT article_id, {_NORM} AS norm FROM articles")
+@query("title_normalized", f"SELECT article_id, {SQL_NORM} AS norm FROM articles")
 def title_normalized(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "articles").select("article_id", text.normalized_headline(F.col("title")).alias("norm"))
 
 
-@query("title_hash_groups", f"SELECT sha1(norm) AS hash, CAST(count(*) AS BIGINT) AS n FROM (SELECT {_NORM} AS norm FROM articles) WHERE norm <> '' GROUP BY 1")
+@query("title_hash_groups", f"SELECT sha1(norm) AS hash, CAST(count(*) AS BIGINT) AS n FROM (SELECT {SQL_NORM} AS norm FROM articles) WHERE norm <> '' GROUP BY 1")
 def title_hash_groups(spark: SparkSession, d: str) -> DataFrame:
     norms = table(spark, d, "articles").select(text.normalized_headline(F.col("title")).alias("norm")).where("norm <> ''")
     return norms.groupBy(text.headline_hash(F.col("norm")).alias("hash")).agg(F.count("*").alias("n"))
@@ -134,7 +134,7 @@ def trigram_stats(spark: SparkSession, d: str) -> DataFrame:
     f"""
     WITH known AS (SELECT norm, raw, row_number() OVER (ORDER BY title_id DESC) AS pos FROM recent_titles WHERE norm <> '' AND raw IS NOT NULL),
     k AS (SELECT raw, pos, {sql_trigrams('norm')} AS b FROM known WHERE pos <= 200),
-    a AS (SELECT article_id, {_NORM} AS norm FROM incoming_articles),
+    a AS (SELECT article_id, {SQL_NORM} AS norm FROM incoming_articles),
     g AS (SELECT article_id, {sql_trigrams('norm')} AS a FROM a WHERE norm <> ''),
     m AS (SELECT article_id, raw, pos FROM g, k WHERE len(list_intersect(a, b)) >= 0.88 * (len(a) + len(b) - len(list_intersect(a, b))))
     SELECT article_id, min_by(raw, pos) AS similar_to FROM m GROUP BY 1
@@ -210,7 +210,7 @@ def unposted_by_url(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "unposted_by_title",
-    f"""WITH p AS (SELECT DISTINCT {_NORM} AS norm FROM posted_history), a AS (SELECT article_id, {_NORM} AS norm FROM articles)
+    f"""WITH p AS (SELECT DISTINCT {SQL_NORM} AS norm FROM posted_history), a AS (SELECT article_id, {SQL_NORM} AS norm FROM articles)
     SELECT article_id FROM a WHERE norm = '' OR norm NOT IN (SELECT norm FROM p)""",
 )
 def unposted_by_title(spark: SparkSession, d: str) -> DataFrame:
@@ -309,7 +309,7 @@ def score_breakdown(spark: SparkSession, d: str) -> DataFrame:
     _SCORED + f""" SELECT article_id, title, total FROM scored JOIN articles USING (article_id, title)
     WHERE {NOW_MS} - pub_ms <= 2592000000 AND title <> '' AND link <> '' AND COALESCE({sql_hits('link', CORPUS_PATHS)}, 0) = 0
     AND COALESCE({sql_hits('title', CORPUS_TITLES)}, 0) = 0 AND article_id IN (SELECT article_id FROM {_ARTICLE_PAGE} WHERE url NOT IN (SELECT url FROM {_POSTED_PAGE} WHERE url IS NOT NULL))
-    AND ({_NORM} = '' OR {_NORM} NOT IN (SELECT {_NORM} FROM posted_history))
+    AND ({SQL_NORM} = '' OR {SQL_NORM} NOT IN (SELECT {SQL_NORM} FROM posted_history))
     ORDER BY total DESC, article_id LIMIT 10""",
 )
 def top_articles(spark: SparkSession, d: str) -> DataFrame:

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace import lexicon
-from millrace.functions import captions, html, summary, times, url
-from millrace.operators import filters, reports, selection, state, statistics
+from millrace.functions import captions, html, summary, text, times, url
+from millrace.operators import dedup, filters, reports, selection, state, statistics
 from millrace.operators.timestamps import normalize_feed_times
 from millrace.plans import catalog, pipeline
 from millrace.plans.registry import ORACLES, query
-from millrace.plans.view import NOW_MS, now, sql_instants, sql_list
+from millrace.plans.view import NOW_MS, VIEW, article_view, now, sql_hits, sql_instants, sql_list, sql_trigrams
 from millrace.session import scratch_path
+from millrace.sinks import delivery
 from millrace.sources import documents, events, feeds
 from millrace.sources.tables import table
 from millrace.streaming import queries as streams
@@ -356,6 +357,134 @@ def newest_lists(spark: SparkSession, d: str) -> DataFrame:
     return lists.select("user_id", F.aggregate(kept, F.lit(0).cast("long"), lambda a, x: a + x).alias("ids"))
 
 
+# ------------------------------------------------------------------------------------------- state and delivery
+@query(
+    "state_log",
+    """WITH u AS (SELECT user_id, max(ts) AS ts, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS e FROM events GROUP BY 1)
+    SELECT user_id, CAST(n AS BIGINT) AS n FROM u WHERE ts > (SELECT max(ts) - INTERVAL 2 DAY FROM events) AND NOT e % 4 = 0""",
+)
+def state_log(spark: SparkSession, d: str) -> DataFrame:
+    """Counts put into a log with two days to live and some deleted after; what a lookup at the end finds."""
+    path = scratch_path(spark, "log")
+    rows = table(spark, d, "events").groupBy("user_id").agg(F.max(F.col("ts").cast("timestamp")).alias("at"), F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("e"))
+    state.put(rows.select("user_id", "n", "at"), path, F.col("at"), 2 * 86_400)
+    state.delete(rows.where("e % 4 = 0").select("user_id", F.lit(0).cast("long").alias("n"), "at"), path, F.col("at") + F.expr("INTERVAL 1 SECOND"))
+    log = spark.read.parquet(path)
+    moment = log.where("not deleted").agg(F.max("written_ts")).first()[0]
+    return state.live(log, ["user_id"], ["written_ts"], F.lit(moment), deleted="deleted").select("user_id", "n")
+
+
+@query("history_1000", "SELECT entry_id, title FROM posted_history ORDER BY entry_id DESC LIMIT 1000")
+def history_1000(spark: SparkSession, d: str) -> DataFrame:
+    """A history rewritten with its newest thousand rows."""
+    path = scratch_path(spark, "history")
+    delivery.keep_newest(table(spark, d, "posted_history").select("entry_id", "title"), [F.desc("entry_id")], path)
+    return spark.read.schema("entry_id long, title string").json(path)
+
+
+def _by_number(row: dict) -> delivery.Reply:
+    """A channel that refuses some rows for good and all images of others."""
+    kind = row["entry_id"] % 3
+    return (200, None, "ok") if kind == 0 else (404, None, "gone") if kind == 1 else (400, None, "wrong file identifier") if row["image"] else (200, None, "ok")
+
+
+@query(
+    "delivery_outcomes",
+    """SELECT entry_id, CASE WHEN canonical_url IS NULL OR entry_id % 3 = 2 THEN 'text' ELSE 'image' END AS sent_as, CAST(CASE entry_id % 3 WHEN 1 THEN 404 ELSE 200 END AS INTEGER) AS status,
+    CAST(CASE WHEN entry_id % 3 = 2 AND canonical_url IS NOT NULL THEN 2 ELSE 1 END AS INTEGER) AS attempts FROM posted_history""",
+)
+def delivery_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """Posts with an image where there is one, as text where the image is refused."""
+    rows = table(spark, d, "posted_history").select("entry_id", F.col("canonical_url").alias("image"))
+    text = lambda row: _by_number({**row, "image": None})
+    return delivery.deliver_posts(rows, "entry_id", "image", _by_number, text).select("entry_id", "sent_as", "status", "attempts")
+
+
+# ------------------------------------------------------------------------------------------- queue and headlines
+_QUEUE = "SELECT article_id, title FROM incoming_articles WHERE title IS NOT NULL ORDER BY score DESC NULLS LAST, article_id LIMIT 36"
+
+
+def _queued(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "incoming_articles").where("title is not null").orderBy(F.col("score").desc_nulls_last(), "article_id").limit(36)
+
+
+@query("unqueued_by_title", f"WITH q AS (SELECT {catalog.SQL_NORM} AS norm FROM ({_QUEUE})) SELECT article_id FROM (SELECT article_id, {catalog.SQL_NORM} AS norm FROM articles) WHERE norm = '' OR norm NOT IN (SELECT norm FROM q)")
+def unqueued_by_title(spark: SparkSession, d: str) -> DataFrame:
+    """Articles whose headline isn't that of a queued one."""
+    key = F.nullif(text.normalized_headline(F.col("title")), F.lit("")).alias("key")
+    return dedup.not_seen(table(spark, d, "articles").select("article_id", key), _queued(spark, d).select(key), "key").select("article_id")
+
+
+@query(
+    "unlike_queued_075",
+    f"""WITH q AS (SELECT {sql_trigrams('norm')} AS b FROM (SELECT {catalog.SQL_NORM} AS norm FROM ({_QUEUE})) WHERE norm <> ''),
+    g AS (SELECT article_id, {sql_trigrams('norm')} AS a FROM (SELECT article_id, {catalog.SQL_NORM} AS norm FROM articles) WHERE norm <> '')
+    SELECT article_id FROM articles WHERE article_id NOT IN (SELECT article_id FROM g, q WHERE len(list_intersect(a, b)) >= 0.75 * (len(a) + len(b) - len(list_intersect(a, b))))""",
+)
+def unlike_queued_075(spark: SparkSession, d: str) -> DataFrame:
+    """Articles whose headline is like none of the queued ones."""
+    rows = table(spark, d, "articles").select("article_id", text.normalized_headline(F.col("title")).alias("headline"))
+    return pipeline.unlike_queued(rows, _queued(spark, d)).select("article_id")
+
+
+@query(
+    "norm_similarity",
+    f"""WITH n AS (SELECT title_id, {sql_trigrams('norm')} AS a, {sql_trigrams('other')} AS b FROM (SELECT title_id, norm, {catalog.SQL_NORM.replace("COALESCE(title, '')", "raw")} AS other FROM recent_titles WHERE norm IS NOT NULL AND raw IS NOT NULL))
+    SELECT title_id, round(CASE WHEN len(a) + len(b) = 0 THEN 1 ELSE len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b)))::DOUBLE END, 9) AS similarity FROM n""",
+)
+def norm_similarity(spark: SparkSession, d: str) -> DataFrame:
+    """How alike a stored normalised headline and one made anew are."""
+    rows = table(spark, d, "recent_titles").where("norm is not null and raw is not null")
+    both = text.jaccard(text.trigrams(F.col("norm")), text.trigrams(F.col("other")))
+    return rows.withColumn("other", text.normalized_headline(F.col("raw"))).select("title_id", F.round(both, 9).alias("similarity"))
+
+
+_TAGS = r"list_filter(list_transform(string_split(title, ' '), lambda x: regexp_replace(regexp_replace(trim(x), '^#+', ''), '\s+', '', 'g')), lambda x: length(x) <= 30 AND regexp_full_match(x, '[A-Za-z0-9_]+'))"
+
+
+@query(
+    "hashtags",
+    f"""WITH l AS (SELECT article_id, {_TAGS} AS l FROM articles WHERE title IS NOT NULL), u AS (SELECT article_id, list_filter(l, lambda x, i: list_position(list_transform(l, lambda y: lower(y)), lower(x)) = i)[1:8] AS u FROM l)
+    SELECT article_id, array_to_string(CASE WHEN len(u) = 0 THEN [] WHEN len(list_filter(u[1:4], lambda x: lower(x) = 'daily')) > 0 THEN u[1:4] ELSE list_append(u[1:4], 'Daily') END, ' ') AS tags FROM u""",
+)
+def hashtags(spark: SparkSession, d: str) -> DataFrame:
+    """Tags made of the words of titles, with the brand as the last one."""
+    tags = summary.tags_with_brand(summary.clean_tags(F.split("title", " ")), "Daily")
+    return table(spark, d, "articles").where("title is not null").select("article_id", F.array_join(tags, " ").alias("tags"))
+
+
+@query(
+    "stats_report",
+    """SELECT CAST(count(score) AS BIGINT) AS n, CAST(greatest(170, least(260, floor(quantile_cont(score, 0.25) + 0.5))) AS INTEGER) AS threshold, round(quantile_cont(score, 0.2), 6) AS p20,
+    round(quantile_cont(score, 0.4), 6) AS p40, round(quantile_cont(score, 0.6), 6) AS p60 FROM articles""",
+)
+def stats_report(spark: SparkSession, d: str) -> DataFrame:
+    """Threshold and percentiles of all scores, in one row."""
+    scores = table(spark, d, "articles").select(F.lit("all").alias("g"), "score")
+    found = statistics.percentiles_by(scores, "g", "score", {"p20": 0.2, "p25": 0.25, "p40": 0.4, "p60": 0.6})
+    held = F.greatest(F.lit(170), F.least(F.lit(260), F.floor(F.col("p25") + 0.5).cast("int")))
+    return found.select("n", held.alias("threshold"), *[F.round(p, 6).alias(p) for p in ("p20", "p40", "p60")])
+
+
+@query("newest_titles_10", "SELECT title_id, raw FROM recent_titles ORDER BY title_id DESC LIMIT 10")
+def newest_titles_10(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.newest(table(spark, d, "recent_titles"), [F.desc("title_id")], 10).select("title_id", "raw")
+
+
+@query(
+    "newest_unposted",
+    f"""WITH {VIEW} SELECT article_id, pub_ms FROM view WHERE {NOW_MS} - pub_ms <= 48 * 3600000 AND COALESCE({sql_hits('link', catalog.CORPUS_PATHS)}, 0) = 0 AND COALESCE({sql_hits('title', catalog.CORPUS_TITLES)}, 0) = 0
+    AND article_id IN ({ORACLES['unposted_by_url']}) ORDER BY pub_ms DESC, article_id LIMIT 1""",
+)
+def newest_unposted(spark: SparkSession, d: str) -> DataFrame:
+    """The simple variant of a run: the newest row that is fresh, on no list and not posted."""
+    view = article_view(spark, d).withColumn("pub_ms", F.unix_millis("pub_ts"))
+    kept = view.where(filters.is_fresh(F.timestamp_millis("pub_ms"), now(), 48) & ~filters.contains_any(F.col("link"), catalog.CORPUS_PATHS) & ~filters.contains_any(F.col("title"), catalog.CORPUS_TITLES))
+    posted = table(spark, d, "posted_history").select(url.canonical_url(F.col("url")).alias("page"))
+    rows = dedup.not_seen(kept.withColumn("page", url.canonical_url(F.coalesce("canonical_url", "link"))), posted, "page")
+    return dedup.newest(rows, [F.desc("pub_ms"), F.col("article_id")], 1).select("article_id", "pub_ms")
+
+
 # -------------------------------------------------------------------------------------------------- streaming
 def _sql_throttled(key: str, gap: str) -> str:
     return f"""WITH RECURSIVE e AS (SELECT {key}, ts FROM events GROUP BY 1, 2), p AS (
