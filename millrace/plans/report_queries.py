@@ -439,7 +439,11 @@ def norm_similarity(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("other", text.normalized_headline(F.col("raw"))).select("title_id", F.round(both, 9).alias("similarity"))
 
 
-_TAGS = r"list_filter(list_transform(string_split(title, ' '), lambda x: regexp_replace(regexp_replace(trim(x), '^#+', ''), '\s+', '', 'g')), lambda x: length(x) <= 30 AND regexp_full_match(x, '[A-Za-z0-9_]+'))"
+_WHITE = r"[\s\x0B\x{0085}\x{00A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_TAGS = (
+    f"list_filter(list_transform(string_split(title, ' '), lambda x: regexp_replace(regexp_replace(regexp_replace(x, '^{_WHITE}+', ''), '^#+', ''), '{_WHITE}+', '', 'g')), "
+    "lambda x: length(x) <= 30 AND regexp_full_match(x, '[A-Za-z0-9_]+'))"
+)
 
 
 @query(
