@@ -152,10 +152,10 @@ def _once(text: str) -> str:
 
 
 #: (encoding of the text, encoding it was read as), in the order in which they are tried.
-SINGLE = [(true, read) for read in ("cp1252", "latin-1") for true in ("cp1251", "koi8-r", "cp1253", "iso8859-5", "cp1255", "cp1256", "cp874")] + [("koi8-r", "cp1251"), ("cp1251", "koi8-r")]
+SINGLE = [(true, read) for read in ("cp1252", "latin-1") for true in ("cp1251", "koi8-r", "cp1253", "cp1255", "cp1256")] + [("koi8-r", "cp1251"), ("cp1251", "koi8-r")]
 DOUBLE = ["gbk", "big5", "cp932", "euc_kr"]
 #: Least share of frequent pairs.
-LIKELY = 0.25
+LIKELY = 0.4
 _ACCENTED = "[\u00aa\u00b5\u00ba\u00c0-\u00ffŠŒŽšœžŸƒ]"
 _ALONE = re.compile(rf"(?<![A-Za-z]){_ACCENTED}+(?![A-Za-z])")
 _TURNED = re.compile(r"(?<!\w)[\u0430-\u044f\u0451][\u0410-\u042f\u0401]{3,}(?!\w)")
@@ -164,7 +164,7 @@ _WIDE = re.compile(r"[\u00a1-\uffdc]+")
 _IDEOGRAPH = re.compile(r"[\u3400-\u9fff\uac00-\ud7a3\uff61-\uff9f]")
 _BETWEEN = re.compile(r"(?<=[a-z])[\u3400-\u9fff\uac00-\ud7a3\uff61-\uff9f]{1,3}(?=[a-z])")
 #: Letters by script, with the vowels of those that write them all.
-_WORDS = [("[\u0401\u0410-\u044f\u0451]", "аеёиоуыэюя"), ("[\u0386-\u03ce]", "αεηιουωάέήίόύώϊϋΐΰ"), ("[\u05d0-\u05ea]", ""), ("[\u0621-\u064a]", ""), ("[\u0e01-\u0e4e]", "")]
+_WORDS = [("[\u0401\u0410-\u044f\u0451]", "аеёиоуыэюя"), ("[\u0386-\u03ce]", "αεηιουωάέήίόύώϊϋΐΰ"), ("[\u05d0-\u05ea]", ""), ("[\u0621-\u064a]", "")]
 
 
 @lru_cache(maxsize=1)
@@ -184,6 +184,8 @@ def _usual(word: str) -> bool:
             if not vowels:
                 return True
             low = word.lower()
+            if "ς" in low[:-1] or low[-1] == "σ":
+                return False
             share = sum(c in vowels for c in low) / len(low)
             return (word.islower() or word[1:].islower()) and 0.2 <= share <= 0.75 and not re.search(f"[^{vowels}]{{5}}", low)
     return False
