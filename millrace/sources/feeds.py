@@ -87,6 +87,16 @@ def read_feed_files(spark: SparkSession, path: str, registry: DataFrame) -> Data
     return parse_feeds(texts.join(registry, "name"))
 
 
+def scan_feeds(spark: SparkSession, registry: DataFrame, timeout: float = TIMEOUT_S, most: int = ITEMS_A_FEED) -> DataFrame:
+    """Articles of all feeds of a registry (name, url, category, priority, feed_tz, date_order), read over the network, one
+    task a feed. A feed that can't be had or read has none. The registry's names and addresses are the scan's options."""
+    spark.dataSource.register(FeedDataSource)
+    known = registry.select("name", "url").where("name is not null and url is not null").collect()  # a row a feed
+    options = {"names": "\n".join(r.name for r in known), "urls": "\n".join(r.url for r in known), "timeout": str(timeout)}
+    texts = spark.read.format("feed").options(**options).load()
+    return parse_feeds(texts.join(F.broadcast(registry.select("name", "category", "priority", "feed_tz", "date_order")), "name"), most)
+
+
 class _Source(InputPartition):
     def __init__(self, name: str, url: str):
         self.name, self.url = name, url

@@ -2,6 +2,8 @@
 
 import html as plain
 import json
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from threading import Thread
 
 import pytest
 from pyspark.sql import functions as F
@@ -156,6 +158,29 @@ def test_pages(spark):
     assert rows(pages.with_page_images(df, "id", "link", "image", get), "id", "image") == [(1, "https://a.example/i.png"), (2, None), (3, None), (4, None), (5, "have"), (6, None), (7, None)]
 
 
+def test_a_scan_of_feeds_over_the_network(spark):
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            good = self.path == "/rss"
+            body = b"<rss><channel><item><title>One &amp; two</title><link>https://a.example/1?utm_source=x</link><pubDate>2025-08-01T10:00:00Z</pubDate></item></channel></rss>"
+            self.send_response(200 if good else 500)
+            self.end_headers()
+            self.wfile.write(body if good else b"")
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    data = [("good", f"{base}/rss", "core", 1, "UTC", "dmy"), ("bad", f"{base}/gone", "ai", 2, None, None), ("dead", "http://127.0.0.1:9/", "ai", 2, None, None), ("none", None, "ai", 2, None, None)]
+    registry = spark.createDataFrame(data, "name string, url string, category string, priority int, feed_tz string, date_order string")
+    found = feeds.scan_feeds(spark, registry, timeout=2)
+    assert rows(found, "source", "title", "canonical_url", "category") == [("good", "One & two", "https://a.example/1", "core")]
+    assert rows(statistics.source_health(registry, found), "name", "ok") == [("bad", False), ("dead", False), ("good", True), ("none", False)]
+    server.shutdown()
+
+
 def test_nested_text_and_attributes(spark):
     df = spark.createDataFrame([("No. <b>1</b> of <i>x<u>y</u></i>", """<IMG alt='>' data-x="1" SRC = 'a.png'><img src="b.png">"""), ("1 < 2", "<p>none</p>"), (None, None)], "t string, h string")
     assert [tuple(r) for r in df.select(feeds.node_text(F.col("t")), html.first_image(F.col("h"))).collect()] == [("No. 1 of xy", "b.png"), ("1 < 2", None), (None, None)]
