@@ -13,8 +13,9 @@ letters without a plain one, or Cyrillic with its capitals the wrong way round,
 usual shape, as it does all others of the text); and UTF-8 read as a double-byte encoding (DOUBLE: a run of four or more
 characters whose bytes are UTF-8 of one script, or a character between small Latin letters whose bytes are an accented one).
 
-JVM side: values that are plain ASCII can't be garbled and never reach Python. There is no shuffle. The automaton is
-built once in each Python worker (about 100,000 sequences, a fixed size, from a rule).
+JVM side: only values with two characters beyond ASCII side by side, or with one that shows wrong decoding by itself, can
+be garbled; no others reach Python. There is no shuffle. The automata are built once in each Python worker (a fixed
+size, from a rule).
 
 Defined results: null and empty values are never garbled; texts of any length are scanned whole; repeated rows give
 repeated results.
@@ -157,6 +158,7 @@ DOUBLE = ["gbk", "big5", "cp932", "euc_kr"]
 #: Least share of frequent pairs.
 LIKELY = 0.4
 _ACCENTED = "[\u00aa\u00b5\u00ba\u00c0-\u00ffŠŒŽšœžŸƒ]"
+_MAYBE_SINGLE = re.compile(rf"{_ACCENTED}{{4}}|[\u0430-\u044f\u0451][\u0410-\u042f\u0401]{{3}}")
 _ALONE = re.compile(rf"(?<![A-Za-z]){_ACCENTED}+(?![A-Za-z])")
 _TURNED = re.compile(r"(?<!\w)[\u0430-\u044f\u0451][\u0410-\u042f\u0401]{3,}(?!\w)")
 _CYRILLIC_WORD = re.compile(r"[\u0400-\u045f]+")
@@ -207,6 +209,8 @@ def _likely(words: list[str]) -> float:
 
 
 def _from_single(text: str) -> str:
+    if not _MAYBE_SINGLE.search(text):
+        return text
     for words, within, pairs in ((_ALONE, _ALONE, SINGLE[:-2]), (_TURNED, _CYRILLIC_WORD, SINGLE[-2:])):
         long = [w for w in words.findall(text) if len(w) >= 4]
         if not long or _run(text, list(_matches(text, further()))):
@@ -268,13 +272,17 @@ def _restored(texts: pa.Array) -> pa.Array:
     return pa.array([one(t) for t in texts.to_pylist()], pa.string())
 
 
+#: What every garbled value has: a sequence of two at least, a control, a replacement character, or a wide character.
+SUSPECT = r"[^\x00-\x7F]{2}|[\x{80}-\x{9F}\x{FFFD}\x{3400}-\x{9FFF}\x{AC00}-\x{D7A3}\x{FF61}-\x{FF9F}]"
+
+
 def restored(text: Column) -> Column:
     """The restored text of a garbled value; null where the value isn't garbled."""
-    return _restored(F.when(text.rlike(r"[^\x00-\x7F]"), text))
+    return _restored(F.when(text.rlike(SUSPECT), text))
 
 
 def garbled_fields(articles: DataFrame, fields: tuple[str, ...] = ("title", "snippet")) -> DataFrame:
     """(article_id, field, original, restored): one row a garbled value; restored still has what can't be restored."""
     one_field = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("original")) for f in fields])).alias("v")
-    rows = articles.select("article_id", one_field).select("article_id", "v.field", "v.original").where(F.col("original").rlike(r"[^\x00-\x7F]"))
+    rows = articles.select("article_id", one_field).select("article_id", "v.field", "v.original").where(F.col("original").rlike(SUSPECT))
     return rows.withColumn("restored", _restored("original")).where("restored is not null")
