@@ -278,11 +278,16 @@ SUSPECT = r"[^\x00-\x7F]{2}|[\x{80}-\x{9F}\x{FFFD}\x{3400}-\x{9FFF}\x{AC00}-\x{D
 
 def restored(text: Column) -> Column:
     """The restored text of a garbled value; null where the value isn't garbled."""
-    return _restored(F.when(text.rlike(SUSPECT), text))
+    return _restored(F.when(suspect(text), text))
+
+
+def suspect(text: Column) -> Column:
+    """Whether a value may be garbled; plain ASCII, as most are, is told by its length alone."""
+    return (F.octet_length(text) > F.length(text)) & text.rlike(SUSPECT)
 
 
 def garbled_fields(articles: DataFrame, fields: tuple[str, ...] = ("title", "snippet")) -> DataFrame:
     """(article_id, field, original, restored): one row a garbled value; restored still has what can't be restored."""
     one_field = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("original")) for f in fields])).alias("v")
-    rows = articles.select("article_id", one_field).select("article_id", "v.field", "v.original").where(F.col("original").rlike(SUSPECT))
+    rows = articles.select("article_id", one_field).select("article_id", "v.field", "v.original").where(suspect(F.col("original")))
     return rows.withColumn("restored", _restored("original")).where("restored is not null")
