@@ -14,11 +14,14 @@ probability 5e-5, a closer one far less. Equal headlines and equal pages are fou
 in shards by hash beside the forest.
 
 The query takes batches in their order and puts neighbouring small ones together to rounds of ROUND_ROWS rows, MOST_ROUNDS
-at most; each round goes through the runs of all before it.
+at most. Each round becomes a run; the young runs are looked up together before they are merged, so that the older runs are
+read once for MERGE_EVERY rounds. What the rounds meet is verified, and joined with the records, once for all of them.
 
-Scale: a signature takes about 30 bytes on disk once. A lookup joins the batch's blocks with those of its cells: a small
-batch, by its size on disk, is broadcast, so the runs aren't shuffled; a large one is shuffled with its cells only. A unit of work is a pair of blocks of at most BLOCK signatures, so a cell that very many texts share is many small units,
-which AQE splits; no task holds a cell.
+Scale: a signature takes about 30 bytes on disk once. A lookup joins the batch's blocks with those of its cells. The batch,
+by its size on disk, is sent to the index in slices of whole cells, so that the runs aren't shuffled, however large they and
+the batch are; only a cell in which the batch alone exceeds a slice is shuffled. A unit of work is a pair of blocks of at most
+BLOCK signatures, so a cell that very many texts share is many small units, which AQE splits; no task holds a cell. There are
+as many cells and shards as the size asks for, and the folders of a lookup are listed once.
 
 Defined results: a null title has an empty headline, which is similar to none; a null link falls back to the canonical
 URL, a record without both has no page; rows without batch are left out; a record is no pair with itself; repeated rows
@@ -30,6 +33,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 from math import ceil
 
 import numpy as np
@@ -50,8 +54,10 @@ TREES, LEVELS, RECALL = 16, 8, 0.9999
 #: Signatures in a block, and those that are sorted together when runs are merged.
 BLOCK, SORTED = 1 << 14, 1 << 19
 CELL_BYTES = 4 << 20
+#: Records in a shard, as long as there are fewer shards than the shuffle is wide.
+SHARD_ROWS = 20_000
 ROUND_ROWS, MOST_ROUNDS, MERGE_EVERY = 20_000, 16, 4
-#: Most bytes of a batch's blocks that are sent to all executors; measured before each lookup.
+#: Most bytes of a batch's blocks that are sent to all executors at once; measured before each lookup.
 SENT_BYTES = 32 << 20
 #: Texts whose signatures a task holds before it hands them on.
 HELD = 1 << 15
@@ -84,10 +90,10 @@ def _pack(c: dict[str, np.ndarray], take) -> bytes:
     return b"".join(np.ascontiguousarray(c[k][take], d).tobytes() for k, d in _COLUMNS)
 
 
-def _unpack(blobs: list[bytes]) -> dict[str, np.ndarray]:
+def _unpack(blobs: list[bytes | pa.Buffer]) -> dict[str, np.ndarray]:
     got: dict[str, list[np.ndarray]] = {k: [np.zeros(0, d)] for k, d in _COLUMNS}
     for blob in blobs:
-        n, at = len(blob) // _ROW_BYTES, 0
+        n, at = memoryview(blob).nbytes // _ROW_BYTES, 0
         for k, d in _COLUMNS:
             got[k].append(np.frombuffer(blob, d, n, at))
             at += np.dtype(d).itemsize * n
@@ -135,26 +141,57 @@ def _compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def found_in_blocks(q: dict[str, np.ndarray], e: dict[str, np.ndarray], depth: int, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of a signature of one sorted block and one of another that share a prefix and pass the bounds."""
     shift = np.uint64(8 * (LEVELS - depth))
+    # tree and prefix in one ascending number (a prefix of all levels has no room for the tree)
+    if depth < LEVELS:
+        key = lambda c: c["tree"].astype(np.uint64) << np.uint64(8 * depth) | c["sig"] >> shift
+        spans = [(slice(None), slice(None), key(q), key(e))]
+    else:
+        cuts = lambda c, tree: slice(*np.searchsorted(c["tree"], (tree, tree + 1)))
+        spans = [(qs := cuts(q, tree), es := cuts(e, tree), q["sig"][qs], e["sig"][es]) for tree in np.intersect1d(q["tree"], e["tree"])]
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for tree in np.intersect1d(q["tree"], e["tree"]):
-        qs, es = ({k: v[slice(*np.searchsorted(c["tree"], (tree, tree + 1)))] for k, v in c.items()} for c in (q, e))
-        prefix = qs["sig"] >> shift
+    for qs, es, asked, there in spans:
+        mine, other = ({k: c[k][at] for k in ("uid", "par", "size")} for c, at in ((q, qs), (e, es)))
         # the range of a prefix among the sorted signatures
-        low = np.searchsorted(es["sig"], prefix << shift, "left")
-        high = np.searchsorted(es["sig"], prefix << shift | ((np.uint64(1) << shift) - np.uint64(1)), "right")
-        both = {k: np.concatenate([qs[k], es[k]]) for k in ("uid", "par", "size")} | {"pos": np.zeros(len(qs["uid"]) + len(es["uid"]), np.uint8)}
+        low, high = np.searchsorted(there, asked, "left"), np.searchsorted(there, asked, "right")
         ends = np.cumsum(high - low)
         total = int(ends[-1]) if len(ends) else 0
         for at in range(0, total, 1 << 22):
             flat = np.arange(at, min(at + (1 << 22), total))
             i = np.searchsorted(ends, flat, "right")
             j = low[i] + flat - (ends[i] - (high - low)[i])
-            ok = near(both, i, j + len(qs["uid"]), t)
-            a.append(qs["uid"][i[ok]])
-            b.append(es["uid"][j[ok]])
+            both = {k: np.concatenate([mine[k][i], other[k][j]]) for k in mine} | {"pos": np.zeros(2 * len(i), np.uint8)}
+            ok = near(both, np.arange(len(i)), np.arange(len(i)) + len(i), t)
+            a.append(mine["uid"][i[ok]])
+            b.append(other["uid"][j[ok]])
     return ordered_pairs(np.concatenate(a), np.concatenate(b))
 
 
+def _stored(spark: SparkSession, schema: str, path: str) -> DataFrame:
+    """The table in the folders under *path*. They are listed in a few tasks; by default each folder is a task of its own."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(shuffle_width(spark)))
+    try:
+        return spark.read.schema(schema).parquet(path)
+    finally:
+        spark.conf.set(key, old)
+
+
+def slices(sizes: dict[int, int], most: int) -> tuple[list[list[int]], list[int]]:
+    """(cells that are sent together, each time *most* bytes at most; cells that are too large to be sent)."""
+    out: list[list[int]] = []
+    room = 0
+    for cell, size in sorted(sizes.items()):
+        if size > most:
+            continue
+        if size > room:
+            out.append([])
+            room = most
+        out[-1].append(cell)
+        room -= size
+    return out, sorted(c for c, size in sizes.items() if size > most)
+
+
 class HashForest:
     """Runs of sorted blocks under *path*, for lookups at similarity *t* or more; its cells are fixed when it is begun."""
 
@@ -170,9 +207,10 @@ class HashForest:
             texts: list[str] = []
 
             def out() -> pa.RecordBatch:
-                sigs, par, sizes = signatures(texts)
-                cols = {"tree": np.tile(np.arange(TREES, dtype=np.uint8), len(texts)), "sig": sigs.ravel()}
-                cols |= {k: np.repeat(v, TREES) for k, v in {"uid": np.concatenate(uids), "par": par, "size": sizes}.items()}
+                own, at = np.unique(np.concatenate(uids), return_index=True)
+                sigs, par, sizes = signatures([texts[i] for i in at])
+                cols = {"tree": np.tile(np.arange(TREES, dtype=np.uint8), len(own)), "sig": sigs.ravel()}
+                cols |= {k: np.repeat(v, TREES) for k, v in {"uid": own, "par": par, "size": sizes}.items()}
                 cell = (mix((cols["sig"] >> cut_off) ^ mix(cols["tree"].astype(np.uint64) + np.uint64(1))) % np.uint64(cells)).astype(np.int64)
                 order = np.argsort(cell, kind="stable")
                 ends = np.searchsorted(cell[order], np.arange(cells + 1))
@@ -196,12 +234,12 @@ class HashForest:
         rows.write.mode("overwrite").partitionBy("cell").parquet(f"{self.path}/run={run}")
 
     def append(self, norms: DataFrame, run: str) -> None:
-        """Persist a run: the signatures of (uid, norm), none empty."""
+        """Persist a run: the signatures of (uid, norm), none empty; repeated rows count once."""
         self._write(self._signed(norms), run)
 
     def blocks(self) -> DataFrame:
         """(lo, hi, blob, run, cell) of all runs; run and cell are folders."""
-        return self.spark.read.schema("lo long, hi long, blob binary, run string, cell int").parquet(self.path)
+        return _stored(self.spark, "lo long, hi long, blob binary, run string, cell int", self.path)
 
     def merge(self, runs: list[str], into: str) -> None:
         """One run in place of several."""
@@ -209,37 +247,51 @@ class HashForest:
         for run in runs:
             remove(self.spark, f"{self.path}/run={run}")
 
-    def touched(self, run: str) -> DataFrame:
-        """The blocks that a lookup of *run* reads: those in its own cells."""
-        own = self.spark.read.schema("lo long, cell int").parquet(f"{self.path}/run={run}")
-        cells = {int(c) for f in own.inputFiles() for c in re.findall(r"/cell=(\d+)/", f)}
-        return self.blocks().where(F.col("cell").isin(sorted(cells)))
+    def touched(self, *runs: str, blocks: DataFrame | None = None) -> DataFrame:
+        """The blocks that a lookup of *runs* reads: those in their own cells."""
+        blocks = self.blocks() if blocks is None else blocks
+        names = "|".join(map(re.escape, runs))
+        cells = {int(c) for f in blocks.inputFiles() for c in re.findall(rf"/run=(?:{names})/cell=(\d+)/", f)}
+        return blocks.where(F.col("cell").isin(sorted(cells)))
+
+    def lookups(self, *runs: str, within: bool = True) -> list[DataFrame]:
+        """(a, b), a < b, maybe repeated: pairs of a text of *runs* and one of any run (if *within*, of *runs* too), in parts
+        that are to be carried out one after the other."""
+        blocks = self.blocks()
+        if sum(path_bytes(self.spark, f"{self.path}/run={run}") for run in runs) <= SENT_BYTES:
+            return [self._met(runs, within, self.touched(*runs, blocks=blocks), True)]
+        own = blocks.where(F.col("run").isin(*runs)).groupBy("cell").agg(F.sum(F.length("blob")).alias("n"))
+        sent, shuffled = slices({r.cell: r.n for r in own.collect()}, SENT_BYTES)
+        parts = [(cells, True) for cells in sent] + ([(shuffled, False)] if shuffled else [])
+        return [self._met(runs, within, blocks.where(F.col("cell").isin(cells)), small) for cells, small in parts]
 
     def candidates(self, run: str, within: bool = True) -> DataFrame:
         """(a, b), a < b: pairs of a text of *run* and one of any run (if *within*, of the run itself too)."""
+        return reduce(DataFrame.union, self.lookups(run, within=within)).distinct()
+
+    def _met(self, runs: tuple[str, ...], within: bool, blocks: DataFrame, sent: bool) -> DataFrame:
         t, depth = self.t, self.depth
         coarse = 8 * max(0, 6 - depth)
         from_, to = (lambda c: F.shiftleft(F.shiftright(c, coarse), coarse)), (lambda c: F.shiftleft(F.shiftright(c, coarse) + 1, coarse) - 1)
-        q = self.blocks().where(F.col("run") == run).select("cell", from_("lo").alias("q_lo"), to("hi").alias("q_hi"), F.col("lo").alias("q_at"), F.col("blob").alias("q"))
-        e = self.touched(run).where(F.lit(within) | (F.col("run") != run)).withColumnRenamed("blob", "e")
-        once = (F.col("run") != run) | (F.col("q_at") <= F.col("lo"))  # two blocks of the run meet once
-        # a small batch goes to where the index lies; a large one meets its cells by a shuffle
-        if path_bytes(self.spark, f"{self.path}/run={run}") <= SENT_BYTES:
-            q = F.broadcast(q)
-        met = q.join(e, "cell").where((F.col("q_lo") <= F.col("hi")) & (F.col("lo") <= F.col("q_hi")) & once)
+        own = F.col("run").isin(*runs)
+        q = blocks.where(own).select("cell", F.col("run").alias("q_run"), from_("lo").alias("q_lo"), to("hi").alias("q_hi"), F.col("lo").alias("q_at"), F.col("blob").alias("q"))
+        e = blocks.where(F.lit(within) | ~own).withColumnRenamed("blob", "e")
+        once = ~own | (F.struct("q_run", "q_at") <= F.struct("run", "lo"))  # two blocks of the runs meet once
+        # the batch goes to where the index lies
+        met = (F.broadcast(q) if sent else q).join(e, "cell").where((F.col("q_lo") <= F.col("hi")) & (F.col("lo") <= F.col("q_hi")) & once)
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 last, mine = None, {}
                 for x, y in zip(b.column(0), b.column(1)):
-                    x = x.as_py()
-                    mine = mine if x is last or x == last else _unpack([x])
+                    x = x.as_buffer()
+                    mine = mine if last is not None and x.equals(last) else _unpack([x])
                     last = x
-                    lo, hi = found_in_blocks(mine, _unpack([y.as_py()]), depth, t)
+                    lo, hi = found_in_blocks(mine, _unpack([y.as_buffer()]), depth, t)
                     if len(lo):
                         yield pa.RecordBatch.from_arrays([pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], names=["a", "b"])
 
-        return met.select("q", "e").mapInArrow(search, "a long, b long").distinct()
+        return met.select("q", "e").mapInArrow(search, "a long, b long")
 
 
 class History:
@@ -254,51 +306,67 @@ class History:
 
     def add(self, records: DataFrame, run: str) -> None:
         """Persist a run of records (id, seq, page, norm, uid)."""
+        self.keep(records, run)
+        self.forest.append(self.headlines().where(F.col("run") == run).select(F.col("key").alias("uid"), "norm"), run)
+
+    def keep(self, records: DataFrame, run: str) -> None:
+        """Persist the records of a run beside the forest."""
         for name, key, columns in (("headlines", F.col("uid"), ["norm", "uid"]), ("pages", F.xxhash64("page"), ["page"])):
             rows = records.withColumn("key", F.when(F.col(columns[0]) != "", key) if name == "headlines" else F.when(F.col("page").isNotNull(), key))
             rows = rows.where("key is not null").select("key", *columns[:1], "id", "seq", F.pmod("key", F.lit(self.shards)).cast("int").alias("shard"))
             rows.hint("rebalance", "shard").write.mode("overwrite").partitionBy("shard").parquet(f"{self.path}/{name}/run={run}")
-        texts = self.headlines().where(F.col("run") == run).groupBy(F.col("key").alias("uid")).agg(F.min("norm").alias("norm"))
-        self.forest.append(texts, run)
 
     def headlines(self) -> DataFrame:
-        return self.spark.read.schema("key long, norm string, id long, seq long, run string, shard int").parquet(f"{self.path}/headlines")
+        return _stored(self.spark, "key long, norm string, id long, seq long, run string, shard int", f"{self.path}/headlines")
 
     def pages(self) -> DataFrame:
-        return self.spark.read.schema("key long, page string, id long, seq long, run string, shard int").parquet(f"{self.path}/pages")
+        return _stored(self.spark, "key long, page string, id long, seq long, run string, shard int", f"{self.path}/pages")
 
     def matches(self, run: str) -> DataFrame:
         """(id_a, id_b), id_a < id_b: a record of *run* and one before it with the same page or a similar headline."""
-        pairs = cut(self.forest.candidates(run), "met")
+        met = scratch_path(self.spark, "met")
+        self.look_up([run], met)
+        self.young.append(run)
+        self.merge_young()
+        return self.settled(met, run)
+
+    def look_up(self, runs: list[str], met: str) -> None:
+        """Add to the table at *met* what *runs* meet in the forest."""
+        for part in self.forest.lookups(*runs):
+            part.write.mode("append").parquet(met)
+
+    def merge_young(self) -> None:
+        """Merge the forest's young runs once there are enough of them."""
+        if len(self.young) >= MERGE_EVERY:
+            self.forest.merge(self.young, f"{self.young[-1]}-merged")
+            self.young = []
+
+    def settled(self, met: str, run: str) -> DataFrame:
+        """(id_a, id_b), id_a < id_b: a record kept under *run* and one before it with the same page, or headlines that are
+        equal, or that are similar and among the pairs at *met*."""
+        pairs = cut(self.spark.read.schema("a long, b long").parquet(met).distinct(), "met")
+        remove(self.spark, met)
+        kept = self.headlines()
         asked = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
         shard = F.pmod("key", F.lit(self.shards)).cast("int")
-        texts = self.headlines().join(asked.withColumn("shard", shard), ["shard", "key"], "left_semi").groupBy(F.col("key").alias("uid")).agg(F.min("norm").alias("norm"))
+        texts = kept.join(asked.withColumn("shard", shard), ["shard", "key"], "left_semi").groupBy(F.col("key").alias("uid")).agg(F.min("norm").alias("norm"))
         links = cut(verified(pairs, texts, self.t), "links", drop=[pairs])
-        new = self.headlines().where(F.col("run") == run)
+        new = kept.where(F.col("run") == run)
         equal = new.select(F.col("key").alias("a"), F.col("key").alias("b")).distinct()
         ways = links.union(links.select("b", "a")).union(equal)
         before = F.col("y.seq").isNull() | (F.col("y.seq") < F.col("x.seq"))
         mine = ways.join(new.select(F.col("key").alias("a"), "id", "seq"), "a").withColumn("shard", F.pmod("b", F.lit(self.shards)).cast("int"))
-        alike = mine.alias("x").join(self.headlines().alias("y"), (F.col("x.shard") == F.col("y.shard")) & (F.col("b") == F.col("y.key"))).where(before)
+        alike = mine.alias("x").join(kept.alias("y"), (F.col("x.shard") == F.col("y.shard")) & (F.col("b") == F.col("y.key"))).where(before)
         pages = self.pages()
         page_of = pages.where(F.col("run") == run).alias("x")
         same = page_of.join(pages.alias("y"), (F.col("x.shard") == F.col("y.shard")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.page") == F.col("y.page"))).where(before)
         ids = [F.col("x.id").alias("x"), F.col("y.id").alias("y")]
         found = alike.select(*ids).union(same.select(*ids)).where("x <> y")
-        out = cut(found.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct(), "matches", drop=[links])
-        self._settle(run)
-        return out
-
-    def _settle(self, run: str) -> None:
-        """Merge the forest's young runs once there are enough of them."""
-        self.young.append(run)
-        if len(self.young) >= MERGE_EVERY:
-            self.forest.merge(self.young, f"{run}-merged")
-            self.young = []
+        return cut(found.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct(), "matches", drop=[links])
 
 
-def cells_for(spark: SparkSession, n: int) -> int:
-    return max(shuffle_width(spark), ceil(n * TREES * _ROW_BYTES / CELL_BYTES))
+def cells_for(n: int) -> int:
+    return max(1, ceil(n * TREES * _ROW_BYTES / CELL_BYTES))
 
 
 def posted_records(posted: DataFrame) -> DataFrame:
@@ -328,14 +396,20 @@ def earlier_matches(posted: DataFrame, incoming: DataFrame, t: Fraction = THRESH
     records = cut(keyed.withColumn("uid", F.when(F.col("norm") != "", F.xxhash64("norm"))), "records")
     where = scratch_path(spark, "rounds")
     in_rounds(records, round_rows, most_rounds).write.partitionBy("round").parquet(where)
-    stored = spark.read.schema("seq long, id long, page string, norm string, uid long, round int").parquet(where)
-    numbers = sorted(r.round for r in stored.select("round").distinct().collect())  # MOST_ROUNDS and two at most
-    history = History(spark, path or scratch_path(spark, "history"), cells_for(spark, records.where("uid is not null").count()), t)
+    stored = _stored(spark, "seq long, id long, page string, norm string, uid long, round int", where)
+    numbers = sorted({int(k) for f in stored.inputFiles() for k in re.findall(r"/round=(\d+)/", f)})  # MOST_ROUNDS and one at most
+    n = records.where("uid is not null").count()
+    history = History(spark, path or scratch_path(spark, "history"), cells_for(n), t, min(shuffle_width(spark), max(1, ceil(n / SHARD_ROWS))))
     remove(spark, records._millrace_path)
-    history.add(stored.where("round = -1"), "posted")
-    found = spark.createDataFrame([], "id_a long, id_b long")
+    history.keep(stored.where("round = -1"), "posted")
+    history.keep(stored.where("round >= 0"), "batches")
+    texts = lambda k: stored.where((F.col("round") == k) & F.col("uid").isNotNull()).select("uid", "norm")
+    history.forest.append(texts(-1), "posted")
+    met = scratch_path(spark, "met")
     for k in numbers:
-        if k >= 0:
-            history.add(stored.where(F.col("round") == k), f"round-{k:05}")
-            found = found.union(history.matches(f"round-{k:05}"))
-    return found
+        history.forest.append(texts(k), f"round-{k:05}")
+        history.young.append(f"round-{k:05}")
+        if len(history.young) >= MERGE_EVERY or k == numbers[-1]:
+            history.look_up(history.young, met)
+            history.merge_young()
+    return history.settled(met, "batches") if numbers else spark.createDataFrame([], "id_a long, id_b long")

@@ -251,6 +251,42 @@ def test_a_small_batch_reads_a_small_part_of_the_index(spark, tmp_path):
     assert size(forest.touched("batch")) < 0.1 * size(forest.blocks())
 
 
+def test_a_large_batch_is_sent_in_slices_and_the_index_not_shuffled(spark, tmp_path, monkeypatch):
+    texts = sorted({x.strip() for x in headlines(400, 15)} - {""})
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "uid long, norm string")
+    forest = history.HashForest(spark, str(tmp_path / "f"), 12)
+    forest.append(df.where("uid % 3 > 0"), "history")
+    batch = df.where("uid % 3 = 0")
+    forest.append(batch.union(batch), "batch")  # repeated rows count once
+    own = {r.cell: r.n for r in forest.blocks().where("run = 'batch'").groupBy("cell").agg(F.sum(F.length("blob")).alias("n")).collect()}
+    assert sum(own.values()) == batch.count() * history.TREES * history._ROW_BYTES
+    whole = {tuple(r) for r in forest.candidates("batch").collect()}
+    monkeypatch.setattr(history, "SENT_BYTES", max(own.values()) + 1)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        cut_up = forest.candidates("batch")
+        assert "SortMergeJoin" not in cut_up._jdf.queryExecution().executedPlan().toString()
+        assert {tuple(r) for r in cut_up.collect()} == whole and len(whole) > 20
+        assert len(forest.lookups("batch")) > 2
+        monkeypatch.setattr(history, "SENT_BYTES", min(own.values()))  # most cells are too large to be sent
+        assert {tuple(r) for r in forest.candidates("batch").collect()} == whole
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert history.slices({1: 5, 2: 4, 3: 11, 4: 2, 5: 9}, 10) == ([[1, 2], [4], [5]], [3])
+
+
+def test_rounds_are_verified_once(spark, monkeypatch):
+    texts = headlines(60, 16)
+    p = spark.createDataFrame([(1000 + i, None, None, x) for i, x in enumerate(texts[:20])], "entry_id long, url string, canonical_url string, title string")
+    q = spark.createDataFrame([(i, i % 5, x, None, None) for i, x in enumerate(texts[20:])], "article_id long, batch_id long, title string, link string, canonical_url string")
+    calls = []
+    monkeypatch.setattr(history, "verified", lambda *a: calls.append(1) or setjoin.verified(*a))
+    monkeypatch.setattr(history, "MERGE_EVERY", 2)
+    assert history.earlier_matches(p, q, round_rows=1).count() > 0
+    assert len(calls) == 1
+
+
 def test_a_prefix_that_all_share_is_many_small_units(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(history, "BLOCK", 50)
     n = 600
